@@ -37,6 +37,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """The table of ``written()`` once more, to be joined with itself."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._evidentia_path)
+    out._evidentia_path = df._evidentia_path
+    return out
+
+
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     """``schema`` and the fields of ``ddl`` behind it."""
     return T.StructType([*schema.fields, *T.DataType.fromDDL(ddl).fields])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import connected, discard, with_fields, written
+from evidentia.llm.common import connected, discard, reread, with_fields, written
 
 COSINE = 0.9
 
@@ -276,7 +276,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         lists = _graphs(sized.withColumnRenamed("own", "iblock").select("shard", "iblock", "node", "unit"))
         index = sized.join(written(lists, "lists"), "node").withColumnRenamed("own", "iblock").withColumn("qblock", F.explode(every))
-        queries = sized.withColumnRenamed("own", "qblock").withColumn("iblock", F.explode(every))
+        queries = reread(sized).withColumnRenamed("own", "qblock").withColumn("iblock", F.explode(every))
         found = _linked(index.select("shard", "iblock", "qblock", "node", "unit", "n", "shards", "near"), queries.select("shard", "iblock", "qblock", "node", "unit", "shards"), least)
         found = written(found, "linked")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
