@@ -23,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WordHashes, connected, discard, mix64, runs, written
+from evidentia.llm.common import WordHashes, connected, discard, mix64, reread, runs, written
 from evidentia.llm.shingles import shingles
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
+#: Members up to which a bucket is compared by pairs of rows, and members of a block beyond that.
+SMALL, BLOCK = 16, 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,6 +167,65 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
 
 
+def elements(texts: list[str], size: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(text, element) of multisets as sets: the k-th occurrence of a shingle is an element of its own."""
+    doc, shingle, _ = shingles(texts, size, known)
+    order = np.lexsort((shingle, doc))
+    doc, shingle = doc[order], shingle[order]
+    first = np.r_[True, (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])]
+    at = np.arange(len(doc))
+    return doc, shingle ^ mix64(at - np.maximum.accumulate(np.where(first, at, 0)))
+
+
+def linked(a: list[str], b: list[str], size: int, least: float, known: WordHashes, columns: int = 4096) -> np.ndarray:
+    """The matrix of which texts of ``a`` and ``b`` have weighted Jaccard similarity >= ``least``, by products of incidence matrices."""
+    da, ea = elements(a, size, known)
+    db, eb = elements(b, size, known)
+    na, nb = np.bincount(da, minlength=len(a)), np.bincount(db, minlength=len(b))
+    shared = np.intersect1d(ea, eb)
+    both = np.zeros((len(a), len(b)), np.float32)
+    ca, cb = np.searchsorted(shared, ea), np.searchsorted(shared, eb)
+    ca, cb = (np.where(c < len(shared), np.where(shared[np.minimum(c, len(shared) - 1)] == e, c, -1), -1) if len(shared) else np.full(len(c), -1) for c, e in ((ca, ea), (cb, eb)))
+    for low in range(0, len(shared), columns):
+        width = min(columns, len(shared) - low)
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        for m, d, c in ((x, da, ca), (y, db, cb)):
+            mine = (c >= low) & (c < low + width)
+            m[d[mine], c[mine] - low] = 1
+        both += x @ y.T
+    both = both.astype(np.float64)
+    return both / np.maximum(na[:, None] + nb - both, 1) >= least
+
+
+def _blocks(open_: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Links (a, b) that join the same nodes as all links within the buckets: each task compares two blocks and tells a forest of its links."""
+    rows = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = written(rows.join(texts, "node").select("bucket", "node", "root", "text", "blocks", "own"), "open")
+    left = rows.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumnRenamed("own", "i")
+    right = reread(rows).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "j")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple[str, str]] = []
+        if len(a) and len(b):
+            known, parent = WordHashes(), {}
+            an, bn, ar, br = (t[c].to_pylist() for c in ("node", "root") for t in (a, b))
+
+            def root(v):
+                while parent.setdefault(v, v) != v:
+                    parent[v] = v = parent[parent[v]]
+                return v
+
+            for x, y in zip(*np.nonzero(linked(a["text"].to_pylist(), b["text"].to_pylist(), size, least, known)), strict=True):
+                u, v = root(ar[x]), root(br[y])
+                if u != v:
+                    parent[u] = v
+                    out.append((an[x], bn[y]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.string()), "b": pa.array([y for _, y in out], pa.string())})
+
+    keys = ("bucket", "i", "j")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a string, b string")
+
+
 def classes(docs: DataFrame, size: int = SIZE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, node, class_id, class_rows) for each row of ``docs``; class_id is the smallest doc_id of the class."""
     sigs = written(signatures(docs, size, bands, rows), "signatures")
@@ -185,14 +246,16 @@ def classes(docs: DataFrame, size: int = SIZE, least: float = SIMILARITY, bands:
     texts = written(texts, "texts")
     links = written(verified(pairs, texts, size, least), "links")
     part = written(connected(links), "parts")
-    # what a bucket holds of different components is compared across them
+    # what a bucket holds of different components is compared across them: pairs of rows in small buckets, pairs of blocks in others
     placed = members.join(part, members.node == part.node, "left").select("bucket", members.node, F.coalesce("root", members.node).alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("bucket", "n")
     open_ = written(placed.join(split, "bucket"), "open")
-    left, right = open_.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
+    small = open_.filter(F.col("n") <= SMALL)
+    left, right = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
     cross = left.join(right, "bucket").filter("ra < rb").select("a", "b").distinct()
     done = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = written(verified(cross.join(done, ["a", "b"], "left_anti"), texts, size, least), "links")
+    more = more.unionAll(written(_blocks(open_.filter(F.col("n") > SMALL), texts, size, least), "links"))
     part = written(connected(links.unionAll(more)), "parts")
     for x in (texts, members, open_):
         discard(x)
