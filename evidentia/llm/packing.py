@@ -25,9 +25,9 @@ from evidentia.llm.common import Recent, runs, written
 
 
 class Tokens:
-    """Whole texts to ids, as little-endian bytes. White-space runs and words are encoded once and kept for a while."""
+    """Whole texts to ids, as little-endian bytes. A text is split into pieces that are encoded alike anywhere; those are kept for a while."""
 
-    def __init__(self, path: str, words: int = 400_000, spaced: int = 250_000, together: int = 256):
+    def __init__(self, path: str, most: int = 600_000, together: int = 256):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -36,49 +36,43 @@ class Tokens:
         self.tok, self.together = tok, together
         self.closing = {i for token, i in tok.get_vocab().items() if token.endswith("</w>")}
         self.all = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.words, self.runs = Recent(self.all, words), Recent(self._run, spaced)
-        self.word, self.spaced = self.words.__getitem__, self.runs.__getitem__
-        self.odd = re.compile(r"[\x1c-\x1f<]").search  # white space to Python alone, and what may begin a special token
-
-    @staticmethod
-    def _core(run: str) -> tuple[str, str] | None:
-        """(word, mark) of a run that is a word of letters, with a stop or comma after it or not."""
-        mark = run[-1] if run[-1] in ".," else ""
-        word = run[:-1] if mark else run
-        if word.isascii():
-            return (word.lower(), mark) if word.isalpha() else None
-        return (word, mark) if word.isalpha() and word.lower().isalpha() else None
-
-    def _run(self, run: str) -> bytes:
-        core = self._core(run)
-        if core is None:
-            return self.word(run)
-        return self.word(core[0]) + self.word(core[1]) if core[1] else self.word(core[0])
-
-    def meet(self, texts: list[str]) -> None:
-        """Encodes the new words of ``texts`` many at a time: a word of letters ends at the one token that closes it."""
-        new: set[str] = set()
+        self.kept = Recent(self.all, most)
+        self.piece = self.kept.__getitem__
+        self.odd = re.compile(r"[\x1c-\x1f<\u0130]").search  # white space to Python alone, the start of special tokens, the letter whose lower case has a mark
+        self.joined = re.compile(r"[.,][^\s\w]|[^\s\w][.,]|_").search  # a stop or comma that isn't a token by itself
+
+    def pieces(self, text: str | None) -> list[str]:
+        """Words, stops and commas of most texts; of others, what stands between white space, without the marks behind words."""
+        if not text:
+            return []
+        if self.odd(text):
+            return [text]
+        if not self.joined(text):
+            return text.replace(",", " , ").replace(".", " . ").split()
+        out = []
+        for run in text.split():
+            word = run.rstrip(".,!?;:$%&*#|")
+            out += (word, run[len(word) :]) if word.isalpha() and len(word) < len(run) else (run,)
+        return out
+
+    def meet(self, texts: list[list[str]]) -> None:
+        """Encodes the new words among the pieces of ``texts`` many at a time: a word of letters ends at the one token that closes it."""
+        seen: set[str] = set()
         for t in texts:
-            new.update(t.split())
-        new -= self.runs.keys()
-        cores = {core[0] for run in new if (core := self._core(run))}
-        words = list(cores - self.words.keys() - self.words.older.keys())
-        for i in range(0, len(words), self.together):
-            some, at, start = words[i : i + self.together], 0, 0
+            seen.update(t)
+        kept, older = self.kept, self.kept.older
+        new = [w for w in seen if w not in kept and w not in older and w.isalpha()]
+        for i in range(0, len(new), self.together):
+            some, at, start = new[i : i + self.together], 0, 0
             ids = self.tok.encode(" ".join(some), add_special_tokens=False).ids
             raw = np.array(ids, "<u4").tobytes()
             for k, x in enumerate(ids, 1):
                 if x in self.closing:
-                    self.words.put(some[at], raw[4 * start : 4 * k])
+                    kept.put(some[at], raw[4 * start : 4 * k])
                     at, start = at + 1, k
 
-    def __call__(self, text: str | None) -> bytes:
-        """No token of a word-level vocabulary spans white space, so the runs between it are encoded apart."""
-        if not text:
-            return b""
-        if self.odd(text):
-            return self.all(text)
-        return b"".join(map(self.spaced, text.split()))
+    def encode(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.piece, pieces))
 
 
 @functools.cache
@@ -93,14 +87,14 @@ def cut(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
     """The pieces of each text: full windows, then the remainder."""
 
     def run(batches):
-        encode, end = tokens(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = tokens(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in runs(texts):
-                out = []
-                encode.meet([t for t in texts[i:j] if t])
+                out, split = [], [encoder.pieces(t) for t in texts[i:j]]
+                encoder.meet(split)
                 for k in range(i, j):
-                    got = encode(texts[k]) + end
+                    got = encoder.encode(split[k - i]) + end
                     n = len(got) // 4
                     out += [(ids[k], at, min(window, n - at), zlib.crc32(got[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
