@@ -85,8 +85,14 @@ def top(doc: np.ndarray, code: np.ndarray, count: np.ndarray, profile: int):
 
 def learn(docs: DataFrame, sample: int = 2000, profile: int = 300) -> list[tuple[str, int, int]]:
     """(language, rank, n-gram code) rows; at most ``profile`` a language come to the driver."""
-    labelled = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    chosen = labelled.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+    hashed = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # the greatest hash that the sample takes of each language, found without moving texts
+    ranked = hashed.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+    most = [tuple(r) for r in ranked.groupBy("lang").agg(F.max("h")).collect()]  # a row a language
+    if not most:
+        return []
+    limits = docs.sparkSession.createDataFrame(most, "lang string, most bigint")
+    chosen = hashed.join(F.broadcast(limits), "lang").filter("h <= most")
 
     def count(batches):
         for b in batches:

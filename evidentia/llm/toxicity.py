@@ -194,9 +194,14 @@ class Scorer:
         return out
 
 
-def learn(rows: DataFrame, sample: int = 1500) -> dict:
-    """Fits on at most ``sample`` rows of (doc_id, text, toxic) a class, in one task."""
-    chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text")))).filter(F.col("k") <= sample)
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> dict:
+    """Fits on at most ``sample`` documents a class that have a text and a label and aren't held out, in one task."""
+    known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    there = docs.filter("text is not null").select("doc_id").filter(~held_out(F.col("doc_id")))
+    ids = known.join(there, "doc_id", "left_semi")
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= sample)
+    # at most 2 * sample ids: their texts are found without a shuffle of the others
+    chosen = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches):
         texts, toxic = [], []
@@ -213,14 +218,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.filter("text is not null").select("doc_id", "text").join(known, "doc_id").filter(~held_out(F.col("doc_id")))
-
-
 def detect(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_spans of every text."""
-    model = learn(labelled(docs, labels), sample)
+    """doc_id, held_out, score, predicted of every text."""
+    model = learn(docs, labels, sample)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
