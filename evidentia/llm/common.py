@@ -107,7 +107,7 @@ class Recent(dict):
 class WordHashes(dict):
     """word -> 64-bit hash, kept for words seen before; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

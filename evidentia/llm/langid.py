@@ -67,7 +67,7 @@ def grams(texts: list[str | None]):
     return doc, code, count
 
 
-def safe(texts: list, most: int = 1_000_000):
+def safe(texts: list, most: int = 300_000):
     """runs() whose documents and three letters always fit one 64-bit word."""
     for i, j in runs(texts, most):
         for k in range(i, j, 2048):

@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
         known = WordHashes()
         for b in batches:
             texts = b.column(2).to_pylist()
-            for i, j in runs(texts, 1_500_000):
+            for i, j in runs(texts, 500_000):
                 d, s, words = shingles(texts[i:j], size, known)
                 sign = bag_minhash(*weighted(d, s), j - i, bands * rows)
                 keys = band_keys(sign, bands, rows)

@@ -27,7 +27,7 @@ from evidentia.llm.common import Recent, runs, written
 class Tokens:
     """Whole texts to ids, as little-endian bytes. A text is split into pieces that are encoded alike anywhere; those are kept for a while."""
 
-    def __init__(self, path: str, most: int = 600_000, together: int = 256):
+    def __init__(self, path: str, most: int = 400_000, together: int = 256):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -90,7 +90,7 @@ def cut(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
         encoder, end = tokens(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in runs(texts):
+            for i, j in runs(texts, 1_000_000):
                 out, split = [], [encoder.pieces(t) for t in texts[i:j]]
                 encoder.meet(split)
                 for k in range(i, j):

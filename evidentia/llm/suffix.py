@@ -235,7 +235,7 @@ def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             i = 0
             while i < len(data):
                 j, size = i, 0
-                while j < len(data) and (j == i or size + len(data[j]) <= 1_000_000):
+                while j < len(data) and (j == i or size + len(data[j]) <= 500_000):
                     size += len(data[j])
                     j += 1
                 t, a, first, last, h, c = anchored(data[i:j], length, gram)

@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         scorer = Scorer(shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i, j in runs(texts, 3_000_000):
+            for i, j in runs(texts, 1_000_000):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(scorer.scores(texts[i:j]))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, with_fields(docs.select("doc_id").schema, "score double"))
