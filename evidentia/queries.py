@@ -351,10 +351,10 @@ def generation_metrics(spark, d):
     return metrics.generation_metrics(_cases(spark, d), ["config"])
 
 
-@query(f"WITH {_CASES}, m AS (SELECT config, avg((gold = pred)::int) AS a FROM cases GROUP BY config) SELECT max_by(config, a) AS best, round(max(a) - min(a), 6) AS gap FROM m")
+@query(f"WITH {_CASES}, m AS (SELECT config, round(avg((gold = pred)::int), 6) AS a FROM cases GROUP BY config) SELECT (SELECT config FROM m ORDER BY a DESC, config DESC LIMIT 1) AS best, round(max(a) - min(a), 6) AS gap FROM m")
 def best_config(spark, d):
     rows = metrics.generation_metrics(_cases(spark, d), ["config"])
-    return rows.agg(F.max_by("config", "accuracy").alias("best"), F.round(F.max("accuracy") - F.min("accuracy"), 6).alias("gap"))
+    return rows.agg(F.max_by("config", F.struct("accuracy", "config")).alias("best"), F.round(F.max("accuracy") - F.min("accuracy"), 6).alias("gap"))
 
 
 _V = "CASE WHEN toxic = 1 THEN 'CONTRADICTED' WHEN quality = 1 THEN 'SUPPORTED' ELSE 'NOT_ADDRESSED' END"
