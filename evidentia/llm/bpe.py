@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evidentia.llm.common import Recent, runs, with_fields
+from evidentia.llm.common import Recent, lean, runs, with_fields
 
 #: The pre-split pattern of byte-level BPE.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -194,7 +194,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids")
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), ids], names=[*(b.schema.names[i] for i in keep), out])
 
     schema = with_fields(docs.drop(out).schema, f"{out} array<int>")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text")
             keep = [i for i, n in enumerate(b.schema.names) if n != out]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), texts], names=[*(b.schema.names[i] for i in keep), out])
 
-    return docs.mapInArrow(run, with_fields(docs.drop(out).schema, f"{out} string"))
+    return docs.mapInArrow(lean(run), with_fields(docs.drop(out).schema, f"{out} string"))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -226,4 +226,4 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                     d.append(hashlib.sha256(enc.text(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, with_fields(docs.select("doc_id").schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), with_fields(docs.select("doc_id").schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

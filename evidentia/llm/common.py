@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +75,38 @@ def runs(texts: list, most: int = 2_000_000):
         yield start, len(texts)
 
 
+def slices(batches, most: int = 2_000_000):
+    """The rows of Arrow ``batches`` in order, in batches of about ``most`` bytes each; a longer row stands alone."""
+    for b in batches:
+        rows = max(1, b.num_rows * most // max(1, b.nbytes))
+        for i in range(0, b.num_rows, rows):
+            part = b.slice(i, rows)
+            if part.nbytes > 2 * most and part.num_rows > 1:  # long texts side by side
+                for k in range(part.num_rows):
+                    yield part.slice(k, 1)
+            else:
+                yield part
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def lean(run):
+    """``run`` for mapInArrow, so that a Python worker holds small batches and gives back its memory when the task ends."""
+
+    def go(batches):
+        try:
+            yield from run(slices(batches))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return go
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import connected, discard, reread, with_fields, written
+from evidentia.llm.common import connected, discard, lean, reread, with_fields, written
 
 COSINE = 0.9
 
@@ -47,7 +47,7 @@ def units(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
                     unit.append(raw)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(unit, pa.binary())], names=["vec_id", "node", "unit"])
 
-    return rows.select(rows[vec_id].cast("bigint"), rows[vector].cast("array<double>")).mapInArrow(run, "vec_id bigint, node bigint, unit binary")
+    return rows.select(rows[vec_id].cast("bigint"), rows[vector].cast("array<double>")).mapInArrow(lean(run), "vec_id bigint, node bigint, unit binary")
 
 
 def matrix(raw: list[bytes]) -> np.ndarray:
@@ -200,7 +200,7 @@ def _sharded(nodes: DataFrame, by_dim: dict[int, np.ndarray], overlap: int) -> D
                     out[i] = sorted((row + off[d]).tolist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, "shards"])
 
-    return nodes.mapInArrow(run, with_fields(nodes.schema, "shards array<int>"))
+    return nodes.mapInArrow(lean(run), with_fields(nodes.schema, "shards array<int>"))
 
 
 def _graphs(index: DataFrame) -> DataFrame:
@@ -316,4 +316,4 @@ def _brute(nodes: DataFrame, probes: list[tuple[int, bytes]], least: float) -> d
                     hit &= np.array([k for k, _ in asked])[:, None] != ids[mine]
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int64()), pa.array((hit * n[mine]).sum(1).astype(np.int64))], names=["node", "links"])
 
-    return {r.node: r.links for r in nodes.select("node", "unit", "n").mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")).collect()}
+    return {r.node: r.links for r in nodes.select("node", "unit", "n").mapInArrow(lean(run), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")).collect()}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import runs, with_fields
+from evidentia.llm.common import lean, runs, with_fields
 
 UND = "und"
 
@@ -105,7 +105,7 @@ def learn(docs: DataFrame, sample: int = 2000, profile: int = 300) -> list[tuple
                     codes, where = np.unique(code[mine], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(np.bincount(where, n[mine], len(codes)).astype(np.int64))], names=["lang", "code", "n"])
 
-    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").mapInArrow(lean(count), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     return [tuple(r) for r in counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= profile).select("lang", F.col("rank") - 1, "code").collect()]
 
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: list[tuple[str, int, int]], profile: int =
 
     plain = docs.drop("lang_pred", "score")
     at = plain.columns.index("text")
-    return plain.mapInArrow(run, with_fields(plain.schema, "lang_pred string, score double"))
+    return plain.mapInArrow(lean(run), with_fields(plain.schema, "lang_pred string, score double"))
 
 
 def held_out(doc_id) -> Column:

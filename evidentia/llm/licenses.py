@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evidentia.llm.common import WordHashes, mix64, runs, with_fields
+from evidentia.llm.common import WordHashes, lean, mix64, runs, with_fields
 from evidentia.llm.shingles import find_words, roll
 
 SIZE, LEAST, HASHES = 5, 0.8, 32
@@ -110,4 +110,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, **ho
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(k, pa.int64())), pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc_id", "license", "containment", "first_word", "last_word"])
 
     schema = with_fields(docs.select("doc_id").schema, "license string, containment double, first_word int, last_word int")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WordHashes, connected, discard, mix64, reread, runs, written
+from evidentia.llm.common import WordHashes, connected, discard, lean, mix64, reread, runs, written
 from evidentia.llm.shingles import shingles
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(node, pa.string()), values], names=["doc_id", "text_hash", "node", "bands"])
 
     rows_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
-    return rows_.mapInArrow(run, "doc_id bigint, text_hash bigint, node string, bands array<bigint>")
+    return rows_.mapInArrow(lean(run), "doc_id bigint, text_hash bigint, node string, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -164,7 +164,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a string, b string")
 
 
 def elements(texts: list[str], size: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Recent, runs, written
+from evidentia.llm.common import Recent, lean, runs, written
 
 
 class Tokens:
@@ -99,7 +99,7 @@ def cut(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
                     out += [(ids[k], at, min(window, n - at), zlib.crc32(got[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(run), PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, mix64, with_fields, written
+from evidentia.llm.common import discard, lean, mix64, with_fields, written
 
 LENGTH, GRAM, BLOCK = 400, 100, 16
 _BASE = 0x9E3779B97F4A7C15
@@ -245,7 +245,7 @@ def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 )
                 i = j
 
-    return texts.mapInArrow(run, "text_key string, anchor int, first int, last int, gram bigint, around bigint")
+    return texts.mapInArrow(lean(run), "text_key string, anchor int, first int, last int, gram bigint, around bigint")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
@@ -258,7 +258,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["gram", "around", "place", "multi", "window"])
 
-    return rows.mapInArrow(run, "gram bigint, around bigint, place int, multi boolean, window binary")
+    return rows.mapInArrow(lean(run), "gram bigint, around bigint, place int, multi boolean, window binary")
 
 
 def _by_array(windows: DataFrame, length: int, symbols: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _by_array(windows: DataFrame, length: int, symbols: int) -> DataFrame:
         if held:
             yield flush()
 
-    return windows.repartition("gram").sortWithinPartitions("gram", "around").mapInArrow(run, f"gram bigint, around bigint, found {SPAN}")
+    return windows.repartition("gram").sortWithinPartitions("gram", "around").mapInArrow(lean(run), f"gram bigint, around bigint, found {SPAN}")
 
 
 def _by_digest(windows: DataFrame, length: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _by_digest(windows: DataFrame, length: int) -> DataFrame:
                 n = len(w) - length + 1
                 yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([2 if m else 1] * n, pa.int64()), pa.array([hashlib.md5(w[k : k + length]).digest() for k in range(n)], pa.binary())], names=["gram", "around", "k", "n", "digest"])
 
-    rows = written(windows.dropDuplicates(["gram", "around"]).mapInArrow(run, "gram bigint, around bigint, k int, n bigint, digest binary"), "strings")
+    rows = written(windows.dropDuplicates(["gram", "around"]).mapInArrow(lean(run), "gram bigint, around bigint, k int, n bigint, digest binary"), "strings")
     twice = rows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
     return rows.join(twice, "digest").groupBy("gram", "around").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("a"), F.col("k").alias("b")))).cast(SPAN).alias("found"))
 
@@ -370,7 +370,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
     rows = docs.select("doc_id", text_key().alias("text_key"), _bytes().alias("data")).join(found, "text_key", "left")
     schema = with_fields(docs.select("doc_id").schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return rows.select("doc_id", "data", "strings").mapInArrow(run, schema)
+    return rows.select("doc_id", "data", "strings").mapInArrow(lean(run), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
@@ -389,4 +389,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=cols)
 
     rows = docs.withColumn("ev_key_", text_key()).join(found.withColumnsRenamed({"text_key": "ev_key_", "strings": "ev_strings_"}), "ev_key_", "left")
-    return rows.select(*cols, "ev_strings_").mapInArrow(run, docs.schema)
+    return rows.select(*cols, "ev_strings_").mapInArrow(lean(run), docs.schema)

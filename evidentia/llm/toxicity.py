@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Recent, runs, with_fields
+from evidentia.llm.common import Recent, lean, runs, with_fields
 
 WORD = re.compile(r"\w+")
 #: Letters of the beginnings and endings that are features.
@@ -210,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> dict:
             toxic += b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit(texts, toxic))])], names=["model"])
 
-    found = chosen.select("text", "toxic").repartition(1).sortWithinPartitions("toxic", "text").mapInArrow(run, "model string").collect()
+    found = chosen.select("text", "toxic").repartition(1).sortWithinPartitions("toxic", "text").mapInArrow(lean(run), "model string").collect()
     return json.loads(found[0].model) if found else {}
 
 
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for i, j in runs(texts, 1_000_000):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(scorer.scores(texts[i:j]))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, with_fields(docs.select("doc_id").schema, "score double"))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), with_fields(docs.select("doc_id").schema, "score double"))
 
 
 def spans(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -248,4 +248,4 @@ def spans(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "first", "last", "marginal"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, with_fields(docs.select("doc_id").schema, "first int, last int, marginal double"))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), with_fields(docs.select("doc_id").schema, "first int, last int, marginal double"))
