@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import lean, runs, with_fields
 
 UND = "und"
+#: Parts in which the rows of one language are ranked.
+SALTS = 64
 
 
 @functools.cache
@@ -87,7 +89,10 @@ def learn(docs: DataFrame, sample: int = 2000, profile: int = 300) -> list[tuple
     """(language, rank, n-gram code) rows; at most ``profile`` a language come to the driver."""
     hashed = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     # the greatest hash that the sample takes of each language, found without moving texts
-    ranked = hashed.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+    # ranked in salted parts first, so that the last ranking of a language meets at most SALTS * sample rows
+    parts = hashed.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
+    parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).filter(F.col("k") <= sample)
+    ranked = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
     most = [tuple(r) for r in ranked.groupBy("lang").agg(F.max("h")).collect()]  # a row a language
     if not most:
         return []
