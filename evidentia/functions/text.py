@@ -118,6 +118,14 @@ def parse_json_loose(c: Column) -> Column:
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.regexp_extract(body, r"(?s)(\{.*\})", 1)), F.try_parse_json(F.regexp_extract(body, r"(?s)(\[.*\])", 1)))
 
 
+def coerce_list(variant: Column, path: str) -> Column:
+    """A list field of a model's answer: a bare string or scalar is a list of one; null and words for nothing are an empty list."""
+    none = F.array().cast("array<string>")
+    one = F.try_variant_get(variant, path, "string")
+    nothing = one.isNull() | F.lower(F.trim(one)).isin("", "none", "n/a", "null")
+    return F.coalesce(F.try_variant_get(variant, path, "array<string>"), F.when(nothing, none).otherwise(F.array(one)))
+
+
 def chunk_id(doc_id: Column, seq: Column, text: Column) -> Column:
     return F.concat(doc_id, F.format_string("#%04d:", seq), F.substring(F.sha1(text), 1, 12))
 

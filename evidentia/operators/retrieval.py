@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.functions import text as T
 
@@ -53,8 +54,13 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qte
     """(qid, key, score, rank) of the k best documents of each query; ties by key."""
     index = postings(docs, key, text)
     stats = corpus_stats(docs, text)
+    return ranked(index, term_stats(index, stats, p.epsilon), stats, key, queries, qid, qtext, k, p)
+
+
+def ranked(index: DataFrame, terms: DataFrame, stats: DataFrame, key: str, queries: DataFrame, qid: str, qtext: str, k: int, p: Params = Params()) -> DataFrame:
+    """``bm25`` over an index that is there already: only the postings of the asked terms are joined."""
     asked = queries.select(qid, F.explode(T.tokenize(F.col(qtext))).alias("term")).groupBy("term", qid).agg(F.count("*").alias("qtf"))
-    hits = asked.join(index, "term").join(term_stats(index, stats, p.epsilon), "term").crossJoin(F.broadcast(stats))
+    hits = asked.join(index, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(qid, key).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return top_k(scored, qid, [F.desc("score"), F.col(key)], k, "rank")
@@ -74,6 +80,7 @@ def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qid: st
     if len(asked) > most_bytes // 256:
         raise ValueError("too many queries for one pass: give them in several")
     shared = vectors.sparkSession.sparkContext.broadcast(asked)
+    id_type = to_arrow_type(queries.schema[qid].dataType)
 
     def run(batches):
         import numpy as np
@@ -85,14 +92,16 @@ def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qid: st
             if not len(x) or not len(q):
                 continue
             s = np.round(q @ x.T, 6)
-            keys = np.array(b.column(0))
+            keys = b.column(0).to_pylist()
             best = [sorted(range(len(keys)), key=lambda j, r=r: (-r[j], keys[j]))[:k] for r in s]
+            asked_by = pa.array([ids[i] for i, js in enumerate(best) for _ in js], id_type)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i, js in enumerate(best) for _ in js]), pa.array([keys[j] for js in best for j in js]), pa.array([float(s[i][j]) for i, js in enumerate(best) for j in js])],
+                [asked_by, pa.array([keys[j] for js in best for j in js], b.schema.field(0).type), pa.array([float(s[i][j]) for i, js in enumerate(best) for j in js])],
                 names=[qid, key, "score"],
             )
 
-    rows = vectors.select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>")).mapInArrow(run, f"{qid} bigint, {key} bigint, score double")
+    kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[qid]
+    rows = vectors.select(F.col(key), F.col(vector).cast("array<double>")).mapInArrow(run, f"{qid} {kinds[1]}, {key} {kinds[0]}, score double")
     return top_k(rows, qid, [F.desc("score"), F.col(key)], k, "rank")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import chunking, metrics, retrieval, verification
-from evidentia.sources import parsers
+from evidentia.operators import chunking, factcheck, index, metrics, retrieval, verification
+from evidentia.sources import pages, parsers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -394,3 +394,122 @@ def usage_cost(spark, d):
 def turn_trace(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("steps"), F.count_if(F.col("role") == "assistant").alias("answers"), F.max("turn").alias("last_turn"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
     return rows.select("conv_id", "steps", "answers", "last_turn", F.array_join(F.transform("t", lambda s: s["role"]), ">").alias("trace"))
+
+
+_CITED = "'SRC § ' || (doc_id % 50) || '(' || chr(97 + (doc_id % 5)::int) || ')'"
+
+
+def _cited(spark, d):
+    """Every document as a chunk under an invented citation."""
+    number, letter = F.col("doc_id") % 50, F.char(97 + F.col("doc_id") % 5)
+    citation = F.concat(F.lit("SRC § "), number, F.lit("("), letter, F.lit(")"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), citation.alias("citation"), (F.col("doc_id") % 7).alias("seq"), "source", F.length("text").alias("n_chars"))
+
+
+_ASKED = [("a", "SRC 7"), ("b", "src § 12(c)"), ("c", "SRC 99"), ("d", "§ ")]
+
+
+@query("WITH q(qid, cited) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ASKED) + f"""), c AS (SELECT doc_id AS chunk_id, {_CITED} AS citation, doc_id % 7 AS seq FROM documents),
+    m AS (SELECT qid, chunk_id, citation, row_number() OVER (PARTITION BY qid ORDER BY length(citation), seq, chunk_id) AS rank FROM q, c
+          WHERE regexp_replace(lower(cited), '[§ ]', '', 'g') <> '' AND contains(regexp_replace(lower(citation), '[§ ]', '', 'g'), regexp_replace(lower(cited), '[§ ]', '', 'g')))
+    SELECT qid, chunk_id, citation, rank::bigint AS rank FROM m WHERE rank <= 6""")
+def citation_lookup(spark, d):
+    asked = spark.createDataFrame(_ASKED, "qid string, cited string")
+    return index.lookup_citations(asked, "qid", "cited", _cited(spark, d)).select("qid", "chunk_id", "citation", (F.col("rank") + 1).cast("bigint").alias("rank"))
+
+
+_GOLD = [("a", "SRC § 7(c)"), ("b", "SRC 12"), ("c", "SRC 99"), ("d", ""), ("e", "SRC 3(z)")]
+
+
+@query("WITH g(id, gold) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _GOLD) + f"""), n AS (SELECT id, gold, {_N.format('gold')} AS g FROM g), c AS (SELECT DISTINCT {_N.format(_CITED)} AS p FROM documents),
+    k AS (SELECT id, g, p, regexp_extract(p, '^([a-z]+[0-9.]*)', 1) AS ps, regexp_extract(g, '^([a-z]+[0-9.]*)', 1) AS gs, regexp_extract(p, '\\(([a-z0-9]+)\\)', 1) AS pl, regexp_extract(g, '\\(([a-z0-9]+)\\)', 1) AS gl FROM n, c)
+    SELECT id, CASE WHEN any_value(g) = '' THEN 'abstention' WHEN bool_or(p = g OR (ps = gs AND (starts_with(pl, gl) OR starts_with(gl, pl)))) THEN 'ok' ELSE 'missing' END AS status FROM k GROUP BY id""")
+def gold_resolution(spark, d):
+    return index.resolve_gold(spark.createDataFrame(_GOLD, "id string, gold string"), "id", "gold", _cited(spark, d))
+
+
+@query(f"""SELECT coalesce(source, 'TOTAL') AS source, count(*) AS chunks, round(avg(length(text)), 6) AS avg_chars, count(DISTINCT {_CITED}) AS citations, floor(sum(length(text)) / 4)::bigint AS tokens
+    FROM documents GROUP BY ROLLUP (source)""")
+def chunk_report(spark, d):
+    return index.chunk_report(_cited(spark, d))
+
+
+@query(f"""WITH {RANKED}, m AS (SELECT 'dense' AS mode, item_id, doc_id, rank FROM lexical WHERE rank <= 8 UNION ALL SELECT 'sparse', item_id, doc_id, rank FROM sparse WHERE rank <= 8
+    UNION ALL SELECT 'hybrid', item_id, doc_id, pool_rank + 1 FROM fused WHERE pool_rank < 8) SELECT mode, item_id, doc_id, rank::bigint AS rank FROM m""")
+def ablation_modes(spark, d):
+    """The same queries through each ranker alone and both together."""
+    first = retrieval.overlap(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 40)
+    second = _sparse(spark, d)
+    none, p = first.filter(F.lit(False)), retrieval.Params(authority=0.0)
+    runs = {"dense": retrieval.fuse(first, none, "item_id", "doc_id"), "sparse": retrieval.fuse(none, second, "item_id", "doc_id"), "hybrid": retrieval.fuse(first, second, "item_id", "doc_id")}
+    parts = [retrieval.retrieve(f, _sources(spark, d), "item_id", "doc_id", p=p).select(F.lit(m).alias("mode"), "item_id", "doc_id", (F.col("final_rank") + 1).cast("bigint").alias("rank")) for m, f in runs.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query(f"""SELECT doc_id // 4 AS claim_id, CASE WHEN bool_or({_GRADE} = 'UNGROUNDED') THEN 'UNGROUNDED' WHEN bool_or({_GRADE} = 'PARTIAL') THEN 'PARTIAL' ELSE 'GROUNDED' END AS grade FROM labels GROUP BY ALL""")
+def answer_grade(spark, d):
+    covered = F.when(F.col("doc_id") % 3 != 0, 1.0).otherwise(0.5)
+    rows = table(spark, d, "labels").select(F.floor(F.col("doc_id") / 4).alias("claim_id"), verification.grade(F.col("toxic"), F.col("quality"), covered).alias("g"))
+    return rows.groupBy("claim_id").agg(factcheck.answer_grade(F.col("g")).alias("grade"))
+
+
+_LOOSE = [
+    (1, '{"caveats": "none", "verdict": "SUPPORTED"}', "", "SUPPORTED"), (2, '```json\n{"caveats": ["a", "b"], "verdict": "CONTRADICTED"}\n```', "a;b", "CONTRADICTED"),
+    (3, 'So: {"caveats": "one thing", "verdict": "MAYBE"} done', "one thing", "NOT_ADDRESSED"), (4, '{"caveats": null}', "", "NOT_ADDRESSED"),
+    (5, '{"caveats": 3}', "3", "NOT_ADDRESSED"), (6, "no json here", factcheck.UNREADABLE, "NOT_ADDRESSED"), (7, None, factcheck.UNREADABLE, "NOT_ADDRESSED"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::bigint, '{c}', '{v}')" for i, _, c, v in _LOOSE) + ") t(id, caveats, verdict)")
+def loose_answers(spark, d):
+    """Model outputs of seven shapes; the SQL states what each must come to."""
+    rows = spark.createDataFrame([(i, o) for i, o, _, _ in _LOOSE], "id long, output string")
+    return factcheck.read_answers(rows).select("id", F.array_join("caveats", ";").alias("caveats"), "verdict")
+
+
+@query(f"""WITH {RANKED}{_final(weight=0.0)}, b AS (SELECT item_id, final_rank, '[S' || (final_rank + 1) || '] doc ' || doc_id || ' | ' || source || chr(10) || 'source=' || source || ' url=' || chr(10) || '---' || chr(10) || text || chr(10) AS block
+    FROM fin JOIN documents USING (doc_id, source) WHERE final_rank < 8) SELECT item_id, sha1(string_agg(block, chr(10) || chr(10) ORDER BY final_rank)) AS context_sha1 FROM b GROUP BY item_id""")
+def context_blocks(spark, d):
+    rows = retrieval.retrieve(_fused(spark, d), _sources(spark, d), "item_id", "doc_id", p=retrieval.Params(authority=0.0)).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = rows.select("item_id", "final_rank", "tag", F.concat(F.lit("doc "), "doc_id").alias("citation"), F.col("source").alias("title"), "source", F.lit("").alias("url"), "text")
+    return factcheck.contexts(rows, ["item_id"]).select("item_id", F.sha1(F.col("context").cast("binary")).alias("context_sha1"))
+
+
+@query("""WITH r AS (SELECT user_id % 20 AS topic, event_id, ts::date AS day, row_number() OVER (PARTITION BY user_id % 20 ORDER BY value DESC, event_id) AS rank FROM events)
+    SELECT topic, event_id, row_number() OVER (PARTITION BY topic ORDER BY day DESC NULLS LAST, rank)::bigint AS place FROM r WHERE rank <= 6""")
+def recent_changes(spark, d):
+    """The six best notices of a topic, the latest first; those without a date last."""
+    rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("topic"), "event_id", "value", F.to_date("ts").alias("day"))
+    best = retrieval.top_k(rows, "topic", [F.desc("value"), F.col("event_id")], 6, "rank")
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc_nulls_last("day"), "rank"))
+    return best.select("topic", "event_id", place.cast("bigint").alias("place"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text) AS k FROM conversations) SELECT conv_id, role, turn, sha1(text) AS text_sha1 FROM s WHERE k = 1""")
+def last_record(spark, d):
+    """Of what was recorded under one key, the last."""
+    rows = parsers.first_of(table(spark, d, "conversations"), ["conv_id", "role"], [F.desc("turn"), F.col("text")])
+    return rows.select("conv_id", "role", "turn", F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
+
+
+@query()
+def page_text(spark, d):
+    """The text of each page's main element without navigation, by the standard library's parser; no SQL."""
+    return table(spark, d, "pages").select("page_id", pages.page_text(F.col("html"), pages.POLICY_BODY, pages.POLICY_JUNK).alias("text"))
+
+
+@query()
+def chunk_corpus(spark, d):
+    """The documents as chunks under context headers; an ordered fold, so no SQL."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.concat(F.lit("doc "), "doc_id").alias("citation"), F.col("lang").alias("title"), "text")
+    none = F.lit(None).cast("string")
+    return chunking.chunk_corpus(docs.withColumns({"url": none, "breadcrumb": F.array().cast("array<string>"), "as_of": none, "effective_date": none}))
+
+
+@query()
+def grounding_report(spark, d):
+    """Each passage as an answer that quotes itself under the tags S1 and S9, checked against what was found for it; no SQL, as quotes are matched fuzzily."""
+    found = retrieval.retrieve(_fused(spark, d), _sources(spark, d), "item_id", "doc_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("citation", F.concat(F.lit("doc "), "doc_id"))
+    quote = lambda tag: F.struct(F.lit(tag).alias("tag"), F.col("text").alias("quote"), F.lit("").alias("relevance"))
+    answers = table(spark, d, "benchmark").select("item_id", F.col("text").alias("explanation"), F.array(quote("S1"), quote("S9")).alias("evidence"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("caveats"))
+    return factcheck.downgrade(factcheck.ground(answers, found, ["item_id"])).select("item_id", "grade", "confidence", "grounding", F.size("caveats").alias("n_caveats"))

@@ -119,3 +119,8 @@ def test_queries_match_sql(spark):
         assert sorted(names) == cols, name
         rows = sorted(tuple(text(r[names.index(c)]) for c in cols) for r in want.fetchall())
         assert sorted(tuple(text(r[c]) for c in cols) for r in got.collect()) == rows, name
+
+
+def test_queries_without_sql(spark):
+    for name in sorted(queries.QUERIES.keys() - queries.SQL.keys()):
+        assert queries.QUERIES[name](spark, SF).count() > 0, name
