@@ -27,6 +27,8 @@ WORD = re.compile(r"\w+")
 #: Letters of the beginnings and endings that are features.
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (4, 6)
 
+SALTS = 64
+
 
 def features(word: str) -> list[str]:
     return ["=" + word, *("<" + word[:n] for n in PREFIXES if len(word) > n), *(">" + word[-n:] for n in SUFFIXES if len(word) > n)]
@@ -199,7 +201,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> dict:
     known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     there = docs.filter("text is not null").select("doc_id").filter(~held_out(F.col("doc_id")))
     ids = known.join(there, "doc_id", "left_semi")
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= sample)
+    # ranked in salted parts first, so that the last ranking of a class meets at most SALTS * sample ids
+    ids = ids.withColumn("h", F.xxhash64("doc_id"))
+    for by in (["toxic", F.pmod("h", F.lit(SALTS))], ["toxic"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("k") <= sample)
     # at most 2 * sample ids: their texts are found without a shuffle of the others
     chosen = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").dropDuplicates(["doc_id"])
 
