@@ -5,9 +5,13 @@ each node its ``overlap`` nearest clusters as shards; every node is indexed. A s
 robust-pruned graph is built on each: of a node's nearest candidates those stay that no closer kept neighbour is ``alpha`` times nearer to.
 A node's lists from all its shards are united. For each pair of an index block and a query block of a shard, greedy search from the block's
 medoid finds each query's surroundings, and the range is expanded along the lists from every node near enough until nothing new is near.
-Found pairs are verified by their cosine. A pair that several shards hold counts in the first of them. Recall is audited on sampled nodes
-against all rows; below ``recall`` the overlap is doubled and the work repeated. Tasks hold two blocks, whatever a cluster's size, and emit
-a row a node, not the links.
+Found pairs are verified by their cosine. A pair that several shards hold counts in the first of them. Tasks hold two blocks, whatever a
+cluster's size, and emit a row a node, not the links.
+
+The overlap starts where pairs of cosine ``least``, made from sampled rows, share a shard; it grows with the number of centroids. Recall is
+audited on sampled nodes against all rows: nodes are drawn until ``linked`` of them have a link, all are drawn or ``most_audited`` are. It
+is the lower of the share of their distinct linked pairs and the mean share of a node with links, so that a large group hides no small one;
+below ``recall`` the overlap is doubled and the work repeated. If no drawn node has a link, nothing was measured and audit_recall is null.
 
 Null vectors, zero vectors and vectors with null or non-finite components link with nothing, and every such row is its own component;
 vectors of different dimensions are never linked; copies are linked with each other; a null vec_id counts as a link but names no component
@@ -67,6 +71,20 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def reach(x: np.ndarray, c: np.ndarray, least: float, part: float) -> int:
+    """The overlap at which a share ``part`` of pairs of cosine ``least`` share a centroid; a pair is a row of ``x`` and the same moved towards another."""
+    rng = np.random.default_rng(7)
+    a, b = x, x[rng.permutation(len(x))]
+    w = b - np.einsum("ij,ij->i", a, b)[:, None] * a
+    norm = np.linalg.norm(w, axis=1)
+    a, w = a[norm > 1e-9], w[norm > 1e-9] / norm[norm > 1e-9, None]
+    if not len(a):
+        return 1
+    y = least * a + np.sqrt(1 - least * least) * w
+    place = [np.argsort(np.argsort(-(v @ c.T), axis=1, kind="stable"), axis=1, kind="stable") for v in (a, y)]
+    return int(np.quantile(np.maximum(*place).min(1) + 1, part, method="higher"))
+
+
 def pruned(order: np.ndarray, near: np.ndarray, x: np.ndarray, degree: int, alpha: float) -> list[int]:
     """Robust prune of candidates in order of distance (``near`` holds their cosines)."""
     away, between = np.sqrt(np.maximum(2 - 2 * near, 0)), np.sqrt(np.maximum(2 - 2 * (x[order] @ x[order].T), 0))
@@ -216,10 +234,10 @@ def _graphs(index: DataFrame) -> DataFrame:
 
 
 def _linked(index: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(node, links, root): in each pair of blocks, how many rows a query is linked to, and a node that it is connected to."""
+    """(node, links, pairs, root): in each pair of blocks, how many rows and nodes a query is linked to, and a node that it is connected to."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"node": [], "links": [], "root": []}
+        out: dict[str, list] = {"node": [], "links": [], "pairs": [], "root": []}
         if len(a) and len(b):
             x, q = matrix(a["unit"].to_pylist()), matrix(b["unit"].to_pylist())
             xn, qn, weight, shard = np.array(a["node"]), np.array(b["node"]), np.array(a["n"]), a["shard"][0].as_py()
@@ -231,6 +249,7 @@ def _linked(index: DataFrame, queries: DataFrame, least: float) -> DataFrame:
             xs, qs = [set(s) for s in a["shards"].to_pylist()], [set(s) for s in b["shards"].to_pylist()]
             first = np.array([min(xs[j] & qs[i]) == shard for i, j in zip(r.tolist(), c.tolist(), strict=True)], bool)
             links = np.bincount(r[first], weight[c[first]], len(qn)).astype(np.int64)
+            pairs = np.bincount(r[first], minlength=len(qn))
             parent: dict[int, int] = {}
 
             def root(v):
@@ -242,31 +261,38 @@ def _linked(index: DataFrame, queries: DataFrame, least: float) -> DataFrame:
                 u, v = root(i), root(j)
                 if u != v:
                     parent[max(u, v)] = min(u, v)
-            mine = {int(v): int(n) for v, n in zip(qn, links, strict=True)}
-            for v in sorted({*parent, *(k for k, n in mine.items() if n)}):
+            mine = {int(v): (int(n), int(m)) for v, n, m in zip(qn, links, pairs, strict=True)}
+            for v in sorted({*parent, *(k for k, (n, _) in mine.items() if n)}):
                 out["node"].append(v)
-                out["links"].append(mine.get(v, 0))
+                out["links"].append(mine.get(v, (0, 0))[0])
+                out["pairs"].append(mine.get(v, (0, 0))[1])
                 out["root"].append(root(v))
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     keys = ("shard", "iblock", "qblock")
-    return index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "node bigint, links bigint, root bigint")
+    return index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "node bigint, links bigint, pairs bigint, root bigint")
 
 
-def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = COSINE, overlap: int = 3, block: int = 3000, most_shards: int = 4096, sample: int = 20_000, audited: int = 256, recall: float = 0.99) -> DataFrame:
+def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = COSINE, overlap: int = 3, block: int = 3000, most_shards: int = 4096, sample: int = 20_000, audited: int = 256, linked: int = 500, most_audited: int = 16_384, recall: float = 0.99) -> DataFrame:
     """One row per row of ``rows``: vec_id, n_links, component_id, kept, audit_recall."""
     all_ = written(units(rows, vec_id, vector), "units")
     nodes = all_.filter("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.first("unit").alias("unit"))
     nodes = written(nodes, "nodes")
     dims = {r.d: r.n for r in nodes.groupBy((F.length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).collect()}
     total = sum(dims.values())
-    by_dim, links, parts, measured = {}, None, None, None
+    samples, links, parts, measured = {}, None, None, None
     for d, n in dims.items():
         share = min(1.0, 1.2 * sample / n)
         some = nodes.filter((F.length("unit") == 8 * d) & (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("unit").limit(sample).collect()
-        by_dim[d] = centroids(matrix([bytes(r.unit) for r in some]), min(most_shards, max(1, -(-n * overlap // block)))) if some else np.eye(1, d)
-    probes = [(r.node, bytes(r.unit)) for r in nodes.orderBy(F.xxhash64("node"), "node").select("node", "unit").limit(audited).collect()]
-    truth = _brute(nodes, probes, least) if probes else {}
+        samples[d] = matrix([bytes(r.unit) for r in some]) if some else np.eye(1, d)
+    held = {d: x[: min(2000, len(x) // 4)] for d, x in samples.items()}  # centroids lie nearer to pairs of the rows they were fitted on
+    while True:
+        by_dim = {d: centroids(x[len(held[d]) :], min(most_shards, max(1, -(-dims[d] * overlap // block)))) for d, x in samples.items()}
+        least_overlap = max((reach(held[d] if len(held[d]) else x, by_dim[d], least, 1 - (1 - recall) / 10) for d, x in samples.items()), default=1)
+        if least_overlap <= overlap:
+            break
+        overlap = least_overlap
+    truth = _audit(nodes, least, audited, linked, most_audited) if total else {}
     while total:
         sharded = written(_sharded(nodes, by_dim, overlap), "sharded")
         sized = sharded.withColumn("shard", F.explode("shards"))
@@ -280,12 +306,12 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         found = _linked(index.select("shard", "iblock", "qblock", "node", "unit", "n", "shards", "near"), queries.select("shard", "iblock", "qblock", "node", "unit", "shards"), least)
         found = written(found, "linked")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        got = {r.node: r.links for r in links.filter(F.col("node").isin([p[0] for p in probes])).collect()}
-        want = sum(truth.values())
-        measured = sum(got.get(k, 0) for k in truth) / want if want else 1.0
+        got = {r.node: r.pairs for r in found.filter(F.col("node").isin(list(truth))).groupBy("node").agg(F.sum("pairs").alias("pairs")).collect()}
+        met = {k: min(got.get(k, 0), want) for k, want in truth.items()}
+        measured = min(sum(met.values()) / sum(truth.values()), sum(met[k] / truth[k] for k in truth) / len(truth)) if truth else None
         for t in (sharded, sized):
             discard(t)
-        if measured >= recall or all(overlap >= len(c) for c in by_dim.values()):
+        if measured is None or measured >= recall or all(overlap >= len(c) for c in by_dim.values()):
             parts = written(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "parts")
             break
         overlap *= 2
@@ -302,18 +328,38 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(measured).cast("double").alias("audit_recall"))
 
 
+def _audit(nodes: DataFrame, least: float, audited: int, linked: int, most: int) -> dict[int, int]:
+    """Nodes with links, drawn by hash, and how many other nodes have cosine >= ``least`` with each. Draws grow until ``linked`` are found."""
+    truth: dict[int, int] = {}
+    drawn, size = 0, min(audited, most)
+    while True:
+        probes = [(r.node, bytes(r.unit)) for r in nodes.orderBy(F.xxhash64("node"), "node").select("node", "unit").limit(size).collect()]
+        if len(probes) > drawn:
+            truth |= {k: n for k, n in _brute(nodes, probes[drawn:], least).items() if n}
+        if len(truth) >= linked or len(probes) < size or size >= most:
+            return truth
+        drawn, size = size, min(4 * size, most)
+
+
 def _brute(nodes: DataFrame, probes: list[tuple[int, bytes]], least: float) -> dict[int, int]:
-    """For each probe, how many rows of other nodes have cosine >= ``least`` with it: a pass over all nodes."""
+    """For each probe, how many other nodes have cosine >= ``least`` with it: a pass over all nodes."""
+    shared = nodes.sparkSession.sparkContext.broadcast(probes)  # at most ``most_audited``
 
     def run(batches):
+        by_dim: dict[int, list] = {}
+        for k, u in shared.value:
+            by_dim.setdefault(len(u) // 8, []).append((k, u))
+        asked = {d: (np.array([k for k, _ in some]), matrix([u for _, u in some])) for d, some in by_dim.items()}
         for b in batches:
-            raw, n, ids = b.column(1).to_pylist(), np.array(b.column(2)), np.array(b.column(0))
-            for d in {len(u) // 8 for _, u in probes}:
+            raw, ids = b.column(1).to_pylist(), np.array(b.column(0))
+            for d, (keys, q) in asked.items():
                 mine = [i for i, r in enumerate(raw) if len(r) // 8 == d]
-                asked = [(k, u) for k, u in probes if len(u) // 8 == d]
-                if mine:
-                    hit = matrix([u for _, u in asked]) @ matrix([raw[i] for i in mine]).T >= least
-                    hit &= np.array([k for k, _ in asked])[:, None] != ids[mine]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int64()), pa.array((hit * n[mine]).sum(1).astype(np.int64))], names=["node", "links"])
-
-    return {r.node: r.links for r in nodes.select("node", "unit", "n").mapInArrow(lean(run), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")).collect()}
+                x = matrix([raw[i] for i in mine]).T if mine else None
+                for low in range(0, len(keys) if mine else 0, 1024):
+                    k = keys[low : low + 1024]
+                    hit = q[low : low + 1024] @ x >= least
+                    hit &= k[:, None] != ids[mine]
+                    n = hit.sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[n > 0], pa.int64()), pa.array(n[n > 0].astype(np.int64))], names=["node", "links"])
+
+    return {r.node: r.links for r in nodes.select("node", "unit").mapInArrow(lean(run), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")).collect()}

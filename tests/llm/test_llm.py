@@ -262,6 +262,33 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (300, 301, 302, 303, 304, 306)) and got[305].component_id == 5
 
 
+def test_embeddings_audit(spark):
+    g = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(g.normal(size=(2400, 64)))
+    table = lambda v: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    assert {r.audit_recall for r in embeddings.near_vectors(table(x[:60])).collect()} == {None}  # no links, nothing measured
+    away = g.normal(size=(500, 64))
+    away = unit(away - (away * x[:500]).sum(1, keepdims=True) * x[:500])
+    pairs = 0.901 * x[:500] + np.sqrt(1 - 0.901**2) * away
+    group = unit(x[2399] + unit(g.normal(size=(200, 64))) * 0.2)  # its links outnumber those of the pairs
+    all_ = np.vstack([x, pairs, group])
+    near = all_ @ all_.T >= 0.9
+    np.fill_diagonal(near, False)
+    rows = {r.vec_id: r for r in embeddings.near_vectors(table(all_), block=200, sample=600).collect()}
+    assert sum(rows[i].n_links for i in range(500)) >= 0.98 * near[:500].sum()
+    assert rows[0].audit_recall >= 0.99 and all(rows[i].n_links <= near[i].sum() for i in rows)
+
+
+def test_reach():
+    g = np.random.default_rng(4)
+    x = g.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    need = [embeddings.reach(x[:2000], embeddings.centroids(x[2000:], k), 0.9, 0.99) for k in (1, 16, 256, 1024)]
+    assert need[0] == 1 and need[0] < need[1] < need[2] <= need[3] and need[3] > 3
+    assert embeddings.reach(x[:1], x[:1], 0.9, 0.99) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (700, 700)]
     roots = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
