@@ -124,3 +124,11 @@ def test_queries_match_sql(spark):
 def test_queries_without_sql(spark):
     for name in sorted(queries.QUERIES.keys() - queries.SQL.keys()):
         assert queries.QUERIES[name](spark, SF).count() > 0, name
+
+
+def test_found_before_rounding(spark):
+    from evidentia.operators.verification import verify_quotes
+
+    body = ("abcdefghijklmnopqrstuvw" * 3)[:48]
+    rows = spark.createDataFrame([(body + "z" * 17, body), (body, body)], "quote string, body string")  # 96 / 113 = 0.84956
+    assert sorted((r.similarity, r.found) for r in verify_quotes(rows, "quote", "body").collect()) == [(0.85, False), (1.0, True)]
