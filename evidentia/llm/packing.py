@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,21 +25,26 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import Recent, lean, runs, written
 
 
+def unlike() -> str:
+    """The letters that aren't letters alone any more when composed and in lower case, such as those with a mark that never composes."""
+    letters = (c for c in map(chr, range(0x110000)) if c.isalpha())
+    return "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha())
+
+
 class Tokens:
     """Whole texts to ids, as little-endian bytes. A text is split into pieces that are encoded alike anywhere; those are kept for a while."""
 
-    def __init__(self, path: str, most: int = 400_000, together: int = 256):
+    def __init__(self, path: str, most: int = 120_000, together: int = 256):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
         self.tok, self.together = tok, together
-        self.closing = {i for token, i in tok.get_vocab().items() if token.endswith("</w>")}
         self.all = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self.kept = Recent(self.all, most)
         self.piece = self.kept.__getitem__
-        self.odd = re.compile(r"[\x1c-\x1f<\u0130]").search  # white space to Python alone, the start of special tokens, the letter whose lower case has a mark
+        self.odd = re.compile(f"[\x1c-\x1f<{unlike()}]").search  # white space to Python alone, the start of special tokens, letters that become others
         self.joined = re.compile(r"[.,][^\s\w]|[^\s\w][.,]|_").search  # a stop or comma that isn't a token by itself
 
     def pieces(self, text: str | None) -> list[str]:
@@ -56,20 +62,20 @@ class Tokens:
         return out
 
     def meet(self, texts: list[list[str]]) -> None:
-        """Encodes the new words among the pieces of ``texts`` many at a time: a word of letters ends at the one token that closes it."""
+        """Encodes the new words among the pieces of ``texts`` many at a time. Where an id's characters begin tells whose word it is of."""
         seen: set[str] = set()
         for t in texts:
             seen.update(t)
         kept, older = self.kept, self.kept.older
         new = [w for w in seen if w not in kept and w not in older and w.isalpha()]
         for i in range(0, len(new), self.together):
-            some, at, start = new[i : i + self.together], 0, 0
-            ids = self.tok.encode(" ".join(some), add_special_tokens=False).ids
-            raw = np.array(ids, "<u4").tobytes()
-            for k, x in enumerate(ids, 1):
-                if x in self.closing:
-                    kept.put(some[at], raw[4 * start : 4 * k])
-                    at, start = at + 1, k
+            some = new[i : i + self.together]
+            got = self.tok.encode(" ".join(some), add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            cuts = (4 * np.searchsorted([start for start, _ in got.offsets], begins)).tolist()
+            for k, word in enumerate(some):
+                kept.put(word, raw[cuts[k] : cuts[k + 1]])
 
     def encode(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.piece, pieces))
