@@ -1,11 +1,14 @@
 """Shards by best-fit-decreasing bin packing of indivisible groups.
 
-Groups (rows of equal text) stay whole. Sizes are summed by digest with map-side combine. Groups of at least ``1/large`` of a shard are
-items of their own, at most ``large`` of them a shard; the rest are gathered into at most ``bundles`` items by hash, so the driver packs
-a list whose length the parameters bound, whatever the input. Items go, largest first, into the bin with the least room that suffices,
-found through a balanced tree. A group larger than an even share gets a shard to itself, as it can't be divided. Null text has no bytes;
-every row counts 8 besides; ties go by key; repeated rows are rows of their group; a null doc_id is sharded as any other; an empty table
-gives no rows.
+Groups (rows of equal text) stay whole and are the items. Items go, largest first, into the bin with the least room that suffices, found
+through a balanced tree. Equal sizes can stand for each other, so the driver packs counts of sizes, not groups: the tightest bin takes as
+many of a size as it has room for, and the next tightest the next ones, which is what item by item gives. Distinct sizes are at most the
+square root of twice the bytes in number, whatever the groups are. The groups of a size are numbered in salted parts, and a group's number
+gives its bin. An even split searches the least capacity for which the bins suffice; a group larger than an even share gets a shard to
+itself, as it can't be divided, and so does one larger than a given capacity. No other shard is over capacity.
+
+Null text has no bytes; every row counts 8 besides; ties go by bin; repeated rows are rows of their group; a null doc_id is sharded as any
+other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import written
+from evidentia.llm.common import discard, written
+
+#: Runs of equal groups up to which the plan of bins is sent to every task; a longer one is joined by shuffle.
+SENT = 200_000
 
 
 class RoomTree:
@@ -65,46 +71,63 @@ class RoomTree:
         return at[0]
 
 
-def best_fit_decreasing(items: list[tuple[int, object]], capacity: int) -> list[tuple[object, int]]:
-    """(key, bin) for items of (size, key); an item beyond the capacity has a bin to itself."""
-    rooms, bins, out = RoomTree(), 0, []
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        found = rooms.take(size)
-        if found is None:
-            found, bins = (max(capacity, size), bins), bins + 1
-        out.append((key, found[1]))
-        if found[0] > size:
-            rooms.insert(found[0] - size, found[1])
-    return out
-
-
-def even_shards(items: list[tuple[int, object]], shards: int) -> list[tuple[object, int]]:
-    """(key, shard): the least capacity for which best-fit-decreasing needs no more than ``shards`` bins."""
-    items = sorted(items, key=lambda x: (-x[0], str(x[1])))
-    alone, total = 0, sum(s for s, _ in items)
-    out = []
-    while items[alone:] and alone < shards - 1 and items[alone][0] * (shards - alone) > total:
-        out.append((items[alone][1], alone))
-        total -= items[alone][0]
-        alone += 1
-    rest, bins = items[alone:], shards - alone
-    if rest:
-        low, high = max(-(-total // bins), rest[0][0]), max(-(-total // bins) + rest[0][0], 1)
-        placed = best_fit_decreasing(rest, high)
-        while high - low > max(1, low >> 20):
-            mid = (low + high) // 2
-            tried = best_fit_decreasing(rest, mid)
-            if max(b for _, b in tried) < bins:
-                placed, high = tried, mid
-            else:
-                low = mid
-        if max(b for _, b in placed) >= bins:
-            raise AssertionError("best fit needs no more bins than this capacity gives")
-        out += [(k, b + alone) for k, b in placed]
-    return out
-
-
-def shard_documents(docs: DataFrame, shards: int = 24, capacity: int | None = None, large: int = 64, bundles: int = 16_384, slot_rows: int = 8192) -> DataFrame:
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """((size, first, last, bin) runs, number of bins): the groups first..last-1 of a size stand in one bin. ``counts``: groups by size.
+
+    A group larger than the capacity has a bin to itself.
+    """
+    rooms, bins, runs = RoomTree(), 0, []
+    for size in sorted(counts, reverse=True):
+        done, n = 0, counts[size]
+        while done < n:
+            found = rooms.take(size)
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+            k = min(n - done, found[0] // size)
+            runs.append((size, done, done + k, found[1]))
+            done += k
+            if found[0] > k * size:
+                rooms.insert(found[0] - k * size, found[1])
+    return runs, bins
+
+
+def even_shards(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
+    """The runs of best_fit_decreasing() of the least capacity that needs no more than ``shards`` bins."""
+    left, total, alone, runs = dict(counts), sum(s * n for s, n in counts.items()), 0, []
+    while left and alone < shards - 1 and (most := max(left)) * (shards - alone) > total:
+        at = counts[most] - left[most]
+        runs.append((most, at, at + 1, alone))
+        total, alone = total - most, alone + 1
+        left[most] -= 1
+        if not left[most]:
+            del left[most]
+    if not left:
+        return runs
+    most, bins = max(left), shards - alone
+    even = -(-total // bins)
+    low, high = max(even, most) - 1, even + most  # so much always suffices: a bin that lacks room for an item is filled beyond the even share
+    placed, _ = best_fit_decreasing(left, high)
+    while high - low > max(1, low >> 20):
+        mid = (low + high) // 2
+        tried, n = best_fit_decreasing(left, mid)
+        if n <= bins:
+            placed, high = tried, mid
+        else:
+            low = mid
+    before = {s: counts[s] - n for s, n in left.items()}
+    return runs + [(s, a + before[s], b + before[s], x + alone) for s, a, b, x in placed]
+
+
+def _numbered(rows: DataFrame, by: str, order: str, parts: int) -> DataFrame:
+    """``rows`` with ``number``, from 0 within each value of ``by``; ranked in salted parts, so that a frequent value needs no single task."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)))
+    sizes = rows.groupBy(by, "part").agg(F.count("*").alias("n"))
+    before = sizes.select(by, "part", (F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(by, "part").orderBy(order))
+    return rows.withColumn("number", rank - 1).join(before, [by, "part"]).withColumn("number", F.col("number") + F.col("before")).drop("part", "before")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, capacity: int | None = None, part_rows: int = 8192) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard, text_digest.
 
     ``shards`` even shards, or with ``capacity`` as few shards of that many bytes as best fit needs. law is ``bytes``: sizes as near to
@@ -119,25 +142,21 @@ def shard_documents(docs: DataFrame, shards: int = 24, capacity: int | None = No
         ),
         "sizes",
     )
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    share = capacity or max(1, -(-total // shards))
-    groups = rows.groupBy("text_digest").agg(F.sum("size").alias("bytes"))
-    bundle = F.pmod(F.xxhash64("text_digest"), F.lit(bundles))
-    items = groups.groupBy(F.when(F.col("bytes") * large >= share, F.col("text_digest")).alias("big"), F.when(F.col("bytes") * large < share, bundle).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    found = [(r.bytes, (r.big, r.bundle)) for r in items.collect()]  # at most bundles + large * shards
-    placed = best_fit_decreasing(found, capacity) if capacity else even_shards(found, shards)
-    big = spark.createDataFrame([(k[0], s) for k, s in placed if k[0] is not None], "big string, s1 int")
-    small = spark.createDataFrame([(k[1], s) for k, s in placed if k[0] is None], "bundle bigint, s2 int")
-    rows = rows.withColumn("bundle", bundle)
-    rows = rows.join(F.broadcast(big), rows.text_digest == big.big, "left").join(F.broadcast(small), "bundle", "left")
-    rows = rows.withColumn("shard", F.coalesce("s1", "s2"))
-    parts = max(1, -(-n // (max(shards, 1) * slot_rows)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(parts)))
-    sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "part").orderBy("rid")))
-    rows = rows.join(before, ["shard", "part"])
+    groups = written(rows.groupBy("text_digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("members")), "groups")
+    sizes = [tuple(r) for r in groups.groupBy("bytes").agg(F.count("*").alias("n"), F.sum("members")).collect()]  # distinct sizes
+    counts, n = {b: k for b, k, _ in sizes}, sum(m for *_, m in sizes)
+    runs = best_fit_decreasing(counts, capacity)[0] if capacity else even_shards(counts, shards)
+    bins = spark.createDataFrame(runs, "bin_bytes bigint, first bigint, last bigint, shard int")
+    bins = F.broadcast(bins) if len(runs) <= SENT else bins
+    parts = max(1, -(-max(counts.values(), default=0) // part_rows))
+    placed = _numbered(groups.select("text_digest", "bytes"), "bytes", "text_digest", parts)
+    placed = placed.join(bins, (F.col("bytes") == F.col("bin_bytes")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
+    placed = written(placed.select("text_digest", "shard"), "placed")
+    discard(groups)
+    rows = written(rows.join(placed, "text_digest"), "placed-rows")
+    discard(placed)
+    rows = _numbered(rows, "shard", "rid", max(1, -(-n // (max(1, shards) * part_rows))))
     return rows.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).cast("bigint").alias("slot"),
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("number").cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "text_digest",
     )
