@@ -23,6 +23,7 @@ NEAR = COPY.replace("word60", "changed")
 TEXTS = [
     (1, None), (2, ""), (3, "   "), (4, COPY), (5, COPY.upper()), (6, NEAR), (7, LONG), (8, "x " + PASSAGE + " y" * 300), (9, "z" * 90 + PASSAGE + " w"), (10, "12345 !!! 67"),
     (11, COPY), (11, COPY), (12, "short one"), (13, "short one"), (None, "no id here at all, none"), (14, "é ☃ <|endoftext|> don't\n\n  x"), (15, "ab" * 2000), (16, "Released under the MIT License. " + "fine " * 30),
+    (17, "\u0938\u095c\u0915 par, \u095c. \u0130stanbul"),
 ]
 
 
@@ -80,12 +81,29 @@ def test_exact(docs):
 
 def test_index_persists(spark, docs, tmp_path):
     path = str(tmp_path / "index")
-    exact_dedup.exact_dedup(docs, path, 4)
-    n = exact_dedup.DigestIndex(spark, path, 4).read().count()
-    more = spark.createDataFrame([(100, COPY), (101, "new text")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in exact_dedup.exact_dedup(more, path, 4).collect()}
-    assert not rows[100].kept and rows[100].keep_id == 11 and rows[101].kept
-    assert exact_dedup.DigestIndex(spark, path, 4).read().count() == n + 1
+    exact_dedup.exact_dedup(docs, path, 4).collect()
+    n = exact_dedup.DigestIndex(spark, path).read().count()
+    more = spark.createDataFrame([(100, COPY), (101, "new text"), (102, "new text")], "doc_id long, text string")
+    for _ in range(2):  # the same batch again, as after a failure: the same rows, nothing added
+        rows = {r.doc_id: r for r in exact_dedup.exact_dedup(more, path).collect()}
+        assert not rows[100].kept and (rows[100].keep_id, rows[100].group_size) == (11, 4)
+        assert rows[102].kept and not rows[101].kept and rows[101].group_size == 2
+        assert exact_dedup.DigestIndex(spark, path).read().count() == n + 1
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.exact_dedup(more, path, 7)
+    assert exact_dedup.DigestIndex(spark, path).buckets == 4
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # another session's default doesn't matter
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert not any(r.kept for r in exact_dedup.exact_dedup(docs.filter("doc_id = 4"), path).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert exact_dedup.DigestIndex(spark, path).read().count() == n + 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("x")
+    with pytest.raises(ValueError, match="no digest index"):
+        exact_dedup.DigestIndex(spark, str(tmp_path / "other"))
 
 
 def test_language(spark, docs):
@@ -122,6 +140,18 @@ def test_packing(docs):
     assert max(by.values()) <= 4096 and sorted(by) == list(range(len(by)))
 
 
+def test_packing_spells_every_letter():
+    """Each letter inside, before and behind others, and before punctuation, as the library does."""
+    encoder = packing.Tokens(WORDS)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha() or (0x300 <= ord(c) < 0x370)]
+    for form in ("x{0}y", "b{0}, {0}.", "ab{0}; é{0}.) {0}{0}1"):
+        for i in range(0, len(letters), 64):
+            text = " k ".join(form.format(c) for c in letters[i : i + 64])
+            pieces = encoder.pieces(text)
+            encoder.meet([pieces])
+            assert encoder.encode(pieces) == encoder.all(text), hex(ord(letters[i]))
+
+
 def test_fullest_is_best():
     for _ in range(200):
         counts, room = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(5)}, rng.randint(1, 60)
@@ -168,17 +198,49 @@ def test_sharding(docs):
 
 
 def test_best_fit():
+    """Counts of sizes give what item by item gives."""
     for _ in range(100):
         sizes = [rng.randint(1, 40) for _ in range(60)]
-        rooms, want = [], []
+        rooms, want = [], Counter()
         for s in sorted(sizes, reverse=True):
             fit = [i for i, r in enumerate(rooms) if r >= s]
             b = min(fit, key=lambda i: (rooms[i], i)) if fit else len(rooms)
             rooms += [50] * (b == len(rooms))
             rooms[b] -= s
-            want.append(b)
-        got = sharding.best_fit_decreasing([(s, i) for i, s in enumerate(sizes)], 50)
-        assert [b for _, b in got] == want
+            want[s, b] += 1
+        runs, bins = sharding.best_fit_decreasing(Counter(sizes), 50)
+        got = Counter()
+        for s, first, last, b in runs:
+            got[s, b] += last - first
+        assert got == want and bins == len(rooms)
+
+
+def test_even_shards():
+    for _ in range(100):
+        counts, shards = Counter(rng.randint(1, 40) for _ in range(200)) + Counter([rng.randint(1, 4000)]), rng.randint(1, 9)
+        runs, load = sharding.even_shards(counts, shards), Counter()
+        for s in counts:
+            parts = sorted((first, last) for size, first, last, _ in runs if size == s)
+            assert parts[0][0] == 0 and parts[-1][1] == counts[s] and all(x[1] == y[0] for x, y in zip(parts, parts[1:], strict=False))
+        for s, first, last, b in runs:
+            load[b] += s * (last - first)
+        assert set(load) <= set(range(shards))
+        small = [n for n in load.values() if n < max(counts)] if max(counts) * shards > load.total() else list(load.values())
+        assert max(small, default=0) - min(small, default=0) <= 40  # no further apart than an item
+
+
+def test_sharding_is_even_and_keeps_to_capacity(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = Counter()
+    for r in sharding.shard_documents(table).collect():
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 0.01 * max(sizes.values())
+    many = spark.range(60_000).selectExpr("id as doc_id", "concat('t', repeat('x', cast(id % 13 as int)), id) as text")  # more shards than any fixed number of bundles
+    rows = sharding.shard_documents(many, capacity=60).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("k")).agg(F.max("n"), F.count("*"), F.sum("k")).first()
+    assert rows[0] <= 60 and rows[1] > 16_384 and rows[2] == 60_000
+    large = spark.createDataFrame([(1, "a" * 500), (2, "b"), (3, "b"), (4, "c" * 30)], "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(large, capacity=60).collect()}
+    assert got[2] == got[3] and list(got.values()).count(got[1]) == 1
 
 
 def test_minhash(docs):
