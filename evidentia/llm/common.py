@@ -93,8 +93,28 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
 
 
+#: What a task holds of a table at once: bytes of a batch that goes to Python, rows of a batch that comes from Parquet.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 512
+
+
+def small_batches() -> None:
+    """Lowers the session's batches to ``BATCH_BYTES`` and ``BATCH_ROWS``, as rows here are whole texts; smaller settings stay."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")  # "67108864b" unless the user wrote a unit
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+
+
 def lean(run):
-    """``run`` for mapInArrow, so that a Python worker holds small batches and gives back its memory when the task ends."""
+    """``run`` for mapInArrow, so that a Python worker holds small batches and gives back its memory when the task ends.
+
+    Sets the session's batch sizes by ``small_batches()``.
+    """
+    small_batches()
 
     def go(batches):
         try:
