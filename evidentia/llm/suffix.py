@@ -1,14 +1,14 @@
 """Suffix-array dedup: removes every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
 1. Anchors. A string's anchor is the position of the least hash among its ``gram``-byte substrings, the leftmost of equals. It depends on the
-   string's own bytes alone, so equal strings have equal anchors. Consecutive strings of a text with one anchor form a run.
-2. Runs are grouped by the anchor's gram, with map-side combine. A gram that occurs once has no repeated string; where all runs of a gram
-   have the same surroundings, each of their strings repeats. Neither needs bytes.
-3. For the other grams (the edges of repeated passages) one run of each distinct surrounding is cut out of its text. The surroundings of
-   many grams are laid out one after another as symbols of ``BLOCK`` bytes, aligned at the anchors, and a suffix array of the symbols is
-   built by linear grouping. Suffixes with the same first symbols are neighbours in it; the remaining bytes on either side of them decide
-   for each string whether it has an equal. Grams with more than ``most`` surroundings go another exact way: their strings' digests are
-   counted with map-side combine, so no group has to fit one task.
+   string's own bytes alone, so equal strings have equal anchors. Consecutive strings of a text with one anchor form a run, told by the
+   anchor's gram and a hash of the bytes around it.
+2. Runs are counted by gram with map-side combine. A gram that occurs once has no repeated string and goes no further.
+3. Of the other grams' runs one of each distinct surrounding is cut out of its text. The surroundings of many grams are laid out one after
+   another as symbols of ``BLOCK`` bytes, aligned at the anchors, and a suffix array of the symbols is built by linear grouping. Suffixes
+   with the same first symbols are neighbours in it; the remaining bytes on either side of them decide for each string whether it has an
+   equal; all strings of a surrounding that occurs twice have one. Grams with more than ``most`` surroundings go another exact way: their
+   strings' digests are counted with map-side combine, so no group has to fit one task.
 4. Each text's repeated strings are united to spans and cut out. Texts that equal others are copies of them and go whole.
 
 Texts are UTF-8 bytes; null is empty; texts below ``length`` bytes stay as they are; matches never cross documents but count inside one;
@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +145,8 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     new = np.flatnonzero(np.r_[True, (m[1:] != m[:-1])])
     anchor = (m[new] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     first, last = start[new], start[np.r_[new[1:] - 1, len(start) - 1]]
-    with np.errstate(over="ignore"):
-        around = (prefix[last + length] - prefix[first]) * inverse[first]
+    whole = memoryview(data)
+    around = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)), np.uint64, len(first))
     around = mix64(around ^ mix64(((anchor - first) << 32 | (last - first)).astype(np.uint64)))
     text = owner[first]
     base = (end - sizes)[text]
@@ -245,7 +246,7 @@ def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 )
                 i = j
 
-    return texts.mapInArrow(lean(run), "text_key string, anchor int, first int, last int, gram bigint, around bigint")
+    return texts.mapInArrow(lean(run), "text_key binary, anchor int, first int, last int, gram bigint, around bigint")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
@@ -277,9 +278,8 @@ def _by_array(windows: DataFrame, length: int, symbols: int) -> DataFrame:
                 if row[0] != last and size > symbols * BLOCK:
                     yield flush()
                     held, size = [], 0
-                if not (held and held[-1][:2] == row[:2]):  # copies of a text bring the same surroundings
-                    held.append(row)
-                    size += len(row[4])
+                held.append(row)
+                size += len(row[4])
                 last = row[0]
         if held:
             yield flush()
@@ -296,7 +296,7 @@ def _by_digest(windows: DataFrame, length: int) -> DataFrame:
                 n = len(w) - length + 1
                 yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([2 if m else 1] * n, pa.int64()), pa.array([hashlib.md5(w[k : k + length]).digest() for k in range(n)], pa.binary())], names=["gram", "around", "k", "n", "digest"])
 
-    rows = written(windows.dropDuplicates(["gram", "around"]).mapInArrow(lean(run), "gram bigint, around bigint, k int, n bigint, digest binary"), "strings")
+    rows = written(windows.mapInArrow(lean(run), "gram bigint, around bigint, k int, n bigint, digest binary"), "strings")
     twice = rows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
     return rows.join(twice, "digest").groupBy("gram", "around").agg(F.array_sort(F.collect_set(F.struct(F.col("k").alias("a"), F.col("k").alias("b")))).cast(SPAN).alias("found"))
 
@@ -305,28 +305,30 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 4
     """(text_key, strings): for each text that has any, the intervals of starts of its repeated strings. text_key is text_key(text)."""
     texts = docs.select(text_key().alias("text_key"), _bytes().alias("data")).filter(F.length("data") >= length)
     runs = written(_runs(texts, length, gram), "runs")
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("c0"), F.max("around").alias("c1")).filter("n > 1")
-    again = runs.join(grams.select("gram", (F.col("c0") != F.col("c1")).alias("mixed")), "gram")
-    again = written(again, "runs-again")
+    # tables on both sides of a join by a key that many rows may share, so that Spark can split the key
+    grams = written(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
+    again = written(runs.join(grams, "gram"), "runs-again")
     discard(runs)
-    mixed = again.filter("mixed").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "anchor", "first", "last")).alias("r"))
-    mixed = mixed.select("gram", "around", (F.col("n") > 1).alias("multi"), "r.*")
-    lists = mixed.groupBy("text_key").agg(F.collect_list(F.struct("gram", "around", "anchor", "first", "last", "multi")).alias("listed"))
-    windows = _windows(texts.join(lists, "text_key").select("data", "listed"), length)
-    windows = written(windows, "windows")
-    hot = windows.groupBy("gram").agg(F.approx_count_distinct("around").alias("n")).filter(F.col("n") > most).select("gram")
+    distinct = again.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "anchor", "first", "last")).alias("r"))
+    distinct = distinct.select("gram", "around", (F.col("n") > 1).alias("multi"), "r.*")
+    lists = distinct.groupBy("text_key").agg(F.collect_list(F.struct("gram", "around", "anchor", "first", "last", "multi")).alias("listed"))
+    one = texts.groupBy("text_key").agg(F.first("data").alias("data"))  # of copies one is moved
+    windows = written(_windows(one.join(lists, "text_key").select("data", "listed"), length), "windows")
+    hot = windows.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("gram")
     hot = written(hot, "hot")
-    found = _by_array(windows.join(hot, "gram", "left_anti"), length, symbols)
-    if not hot.isEmpty():
-        found = found.unionByName(_by_digest(windows.join(hot, "gram", "left_semi"), length))
+    if hot.isEmpty():
+        found = _by_array(windows, length, symbols)
+    else:
+        found = _by_array(windows.join(hot, "gram", "left_anti"), length, symbols).unionByName(_by_digest(windows.join(hot, "gram", "left_semi"), length))
     found = written(found.filter(F.size("found") > 0), "found")
     discard(windows)
-    whole = again.filter("not mixed").select("text_key", F.col("first").alias("a"), F.col("last").alias("b"))
-    parts = again.filter("mixed").select("gram", "around", "text_key", "first").join(found, ["gram", "around"]).select("text_key", "first", F.explode("found").alias("s"))
-    parts = parts.select("text_key", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))
+    parts = again.select("gram", "around", "text_key", "first").join(found, ["gram", "around"]).select("text_key", "first", F.explode("found").alias("s"))
+    strings = F.struct((F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))
     # a text's distinct intervals; the copies of a text bring the same ones
-    rows = whole.unionAll(parts).distinct()
-    return rows.groupBy("text_key").agg(F.collect_list(F.struct("a", "b")).alias("strings"))
+    out = written(parts.groupBy("text_key").agg(F.collect_set(strings).alias("strings")), "spans")
+    discard(again)
+    discard(found)
+    return out
 
 
 def _bytes():
@@ -334,7 +336,7 @@ def _bytes():
 
 
 def text_key():
-    return F.md5(_bytes())
+    return F.unhex(F.md5(_bytes()))
 
 
 def _kept(data: bytes, strings: list[dict] | None, length: int) -> tuple[bytes, int, int]:
@@ -353,12 +355,12 @@ def _kept(data: bytes, strings: list[dict] | None, length: int) -> tuple[bytes,
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text, which is what is left, of each row."""
     found = spans(docs, length, **how)
 
     def run(batches):
         for b in batches:
-            n, removed, count, sha = [], [], [], []
+            n, removed, count, sha, text = [], [], [], [], []
             for data, strings in zip(b.column(1), b.column(2), strict=True):
                 data = data.as_py()
                 left, r, s = _kept(data, strings.as_py(), length)
@@ -366,10 +368,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                 removed.append(r)
                 count.append(s)
                 sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                text.append(left.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha), pa.array(text, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     rows = docs.select("doc_id", text_key().alias("text_key"), _bytes().alias("data")).join(found, "text_key", "left")
-    schema = with_fields(docs.select("doc_id").schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    schema = with_fields(docs.select("doc_id").schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
     return rows.select("doc_id", "data", "strings").mapInArrow(lean(run), schema)
 
 
