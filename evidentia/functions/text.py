@@ -19,6 +19,7 @@ EXPANSIONS = [
     (r"\bgrace period\b", "grace period authorized period of stay departure"),
     (r"\bout of status\b", "failure to maintain status unlawful presence violation"),
 ]
+#: The pattern of a term, and of a heading line.
 TOKEN = r"[a-z0-9]+(?:[.\-–][a-z0-9]+)*(?:\([a-z0-9]+\))*"
 HEADING = (
     r"^\s*(?:\d+\s?FAM\s[\d.\-()A-Z]+.*|[A-Z]\.\s+[A-Z]\S.{0,80}|\d{1,2}\.\s+[A-Z]\S.{0,80}|Chapter\s+\d+\s*[-–].{0,80}"
@@ -45,14 +46,15 @@ def approx_tokens(c: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Terms in order, repeats kept; identifiers stay whole and add their stem, inner labels and undashed form."""
     low = F.replace(F.replace(F.lower(c), F.lit("§"), F.lit(" section ")), F.lit("u.s.c."), F.lit("usc"))
-    none = F.array().cast("array<string>")
+    none, found = F.array().cast("array<string>"), F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
     def variants(t: Column) -> Column:
         parts = F.when(F.contains(t, F.lit("(")), F.concat(F.array(F.substring_index(t, "(", 1)), F.regexp_extract_all(t, F.lit(r"\(([a-z0-9]+)\)"), F.lit(1)))).otherwise(none)
         plain = F.when(F.contains(t, F.lit("-")) & (F.length(t) < 12), F.array(F.replace(t, F.lit("-"), F.lit("")))).otherwise(none)
         return F.concat(F.array(t), parts, plain)
 
-    return F.filter(F.flatten(F.transform(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), variants)), lambda t: t != "")
+    # most texts have no identifier that adds terms
+    return F.when(low.rlike(r"[a-z0-9][(\-]"), F.filter(F.flatten(F.transform(found, variants)), lambda t: t != "")).otherwise(found)
 
 
 def split_sentences(c: Column) -> Column:
@@ -107,8 +109,9 @@ def clean_pdf_text(c: Column) -> Column:
 
 
 def strip_think(c: Column) -> Column:
-    """Without <think> blocks, finished or not."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", ""))
+    """A model's output without its reasoning; of a block that was cut off, what follows the last tag stays."""
+    rest = F.trim(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""))
+    return F.when(F.contains(F.lower(rest), F.lit("<think>")), F.trim(F.element_at(F.split(rest, "(?i)</?think>"), -1))).otherwise(rest)
 
 
 def parse_json_loose(c: Column) -> Column:

@@ -41,6 +41,13 @@ def split_claims(claims: DataFrame, text: str = "claim", pieces: Column | None =
     return claims.select("claim_id", F.posexplode(whole).alias("part", "claim")).withColumn("part", F.col("part") + 1)
 
 
+def split_by_model(claims: DataFrame, model: Model, text: str = "claim", most: int = 6) -> DataFrame:
+    """``split_claims`` into the pieces that a model names as {"subclaims": [{"text": ...}]}; an output that can't be read leaves the claim whole."""
+    told = T.parse_json_loose(T.strip_think(asked(F.concat(F.lit("SPLIT: "), F.col(text)), model)))
+    pieces = F.transform(F.try_variant_get(told, "$.subclaims", "array<struct<text: string>>"), lambda s: F.coalesce(s["text"], F.lit("")))
+    return split_claims(claims.withColumn("pieces_", pieces), text, F.col("pieces_"), most)
+
+
 def contexts(results: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, context): the passages found for each query, in order, under their tags. A query has final_k of them at most."""
     c = lambda name: F.coalesce(name, F.lit(""))
@@ -54,7 +61,7 @@ def read_answers(rows: DataFrame, output: str = "output") -> DataFrame:
 
     A verdict that isn't one is NOT_ADDRESSED. An output without JSON is NOT_ADDRESSED with low confidence and a caveat.
     """
-    rows = rows.withColumn("v_", T.parse_json_loose(F.coalesce(output, F.lit(""))))
+    rows = rows.withColumn("v_", T.parse_json_loose(T.strip_think(F.coalesce(output, F.lit("")))))
     v, bad = F.col("v_"), F.col("v_").isNull()
     verdict, none = F.try_variant_get(v, "$.verdict", "string"), F.array().cast(EVIDENCE)
     return (
@@ -110,19 +117,35 @@ def without_retrieval(rows: DataFrame) -> DataFrame:
     return rows.withColumn("evidence", F.array().cast(EVIDENCE)).withColumn("grade", F.when(decisive, "UNGROUNDED").otherwise("GROUNDED")).withColumn("quote_fidelity", zero).withColumn("sentence_coverage", zero)
 
 
-def sum_up(parts: DataFrame) -> DataFrame:
-    """(claim_id, verdict, confidence, summary, explanation, caveats, n_parts, grounded): one part speaks for itself, more are aggregated."""
-    kept = F.struct("part", "confidence", "explanation", "caveats")
+def sum_up(parts: DataFrame, claims: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+    """(claim_id, verdict, confidence, summary, explanation, caveats, n_parts, grounded): one part speaks for itself, more are aggregated.
+
+    With a ``model`` and the ``claims`` (claim_id, claim), claims of several parts are summed up by it; what it doesn't say, or says in a
+    form that can't be read, is aggregated.
+    """
+    kept = F.struct("part", "claim", "verdict", "confidence", "explanation", "caveats") if model else F.struct("part", "confidence", "explanation", "caveats")
     rows = parts.groupBy("claim_id").agg(
         metrics.overall_verdict(F.col("verdict")).alias("verdict"), F.array_sort(F.collect_list(kept)).alias("p"), F.count_if(F.col("grade") == "GROUNDED").alias("grounded"),
     )
     one, first = F.size("p") == 1, F.element_at("p", 1)
     lead = F.concat(F.regexp_replace(F.substring_index(first["explanation"], ". ", 1), r"^[. ]+|[. ]+$", ""), F.lit("."))
-    return rows.select(
+    out = rows.select(
         "claim_id", "verdict", F.when(one, first["confidence"]).otherwise("low").alias("confidence"), F.when(one, lead).otherwise("See the verdicts of the parts below.").alias("summary"),
         F.array_join(F.transform("p", lambda x: x["explanation"]), " ").alias("explanation"), F.flatten(F.transform("p", lambda x: x["caveats"])).alias("caveats"),
-        F.size("p").alias("n_parts"), "grounded",
+        F.size("p").alias("n_parts"), "grounded", *(["p"] if model else []),
     )
+    if model is None:
+        return out
+    several = out.filter("n_parts > 1").join(claims.select("claim_id", "claim"), "claim_id")
+    prompt = F.concat(F.lit("SUM UP: "), "claim", F.lit("\n\nPARTS:\n\n"), F.to_json("p"))
+    several = several.withColumn("v_", T.parse_json_loose(T.strip_think(asked(prompt, model)))).drop("claim")
+    said = lambda name: F.nullif(F.try_variant_get(F.col("v_"), f"$.{name}", "string"), F.lit(""))
+    several = several.withColumns({
+        "verdict": F.when(said("verdict").isin(*VERDICTS), said("verdict")).otherwise(F.col("verdict")), "confidence": F.coalesce(said("confidence"), "confidence"),
+        "summary": F.coalesce(said("summary"), "summary"), "explanation": F.coalesce(said("explanation"), "explanation"),
+        "caveats": F.when(F.col("v_").isNull() | F.try_variant_get(F.col("v_"), "$.caveats", "string").isNull(), F.col("caveats")).otherwise(T.coerce_list(F.col("v_"), "$.caveats")),
+    }).drop("v_", "p")
+    return out.filter("n_parts <= 1").drop("p").unionByName(several)
 
 
 def answer_grade(grade: Column) -> Column:
@@ -137,25 +160,55 @@ def recent_changes(notices: DataFrame, keys: list[str], as_of: str, days: int =
     return top_k(recent, keys[0], [F.col("final_rank")], most, "shown").select(*keys, "shown", F.col("effective_date").alias("date"), "title", "citation", "url")
 
 
-def check(claims: DataFrame, search: Callable[[DataFrame], DataFrame], model: Model, pieces: Column | None = None, threshold: float = -6.0, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def check(
+    claims: DataFrame, search: Callable[[DataFrame], DataFrame] | None, model: Model, pieces: Column | None = None, threshold: float = -6.0,
+    keep: Callable[[DataFrame], DataFrame] | None = None, splitter: Model | None = None, synthesizer: Model | None = None, act: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """(parts, overall) of ``claims`` (claim_id, claim).
 
-    ``search`` maps (qid, claim) to the rows of ``Index.search``. A part without passages, or whose best one scores below ``threshold``,
-    isn't asked about. ``keep`` writes the model's outputs and rereads them; by default they are checkpointed, so that no call is made twice.
-    """
+    ``search`` maps (qid, claim) to the rows of ``Index.search``; without it the model answers from memory, which is the control. A part
+    without passages, or whose best one scores below ``threshold``, isn't asked about. Claims are split into ``pieces`` or by a
+    ``splitter``, and summed up by a ``synthesizer`` if there is one. Answers are always verified; ``act`` lowers those that don't hold.
+    ``keep`` writes the models' outputs and rereads them; by default they are checkpointed, so that no call is made twice.
+    """
     keep = keep or (lambda df: df.checkpoint())
     qid = F.concat_ws("#", "claim_id", "part")
-    parts = split_claims(claims, "claim", pieces).withColumn("qid", qid)
+    parts = keep(split_by_model(claims, splitter)) if splitter else split_claims(claims, "claim", pieces)
+    parts = parts.withColumn("qid", qid)
+    if search is None:
+        told = keep(parts.withColumn("output", asked(F.concat(F.lit("CLAIM: "), "claim"), model)))
+        none = F.array().cast("array<struct<final_rank:int,tag:string,citation:string,title:string,source:string,url:string>>")
+        done = without_retrieval(read_answers(told)).withColumn("valid_tags", F.array().cast("array<string>")).withColumn("sources", none)
+        return done, sum_up(done, claims, synthesizer)
     found = keep(search(parts.select("qid", "claim")))
+    shown = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("final_rank", "tag", "citation", "title", "source", "url"))).alias("sources"))  # final_k of them
     best = found.filter("final_rank = 0").select("qid", F.col("rerank").alias("best_"))
-    rows = parts.join(contexts(found, ["qid"]), "qid", "left").join(best, "qid", "left")
+    rows = parts.join(contexts(found, ["qid"]), "qid", "left").join(best, "qid", "left").join(shown, "qid", "left")
     ready = F.col("context").isNotNull() & (F.col("best_") >= threshold)
     prompt = F.concat(F.lit("CLAIM: "), "claim", F.lit("\n\nPASSAGES:\n\n"), "context")
     told = rows.filter(ready).withColumn("output", asked(prompt, model))
     silent = rows.filter(~F.coalesce(ready, F.lit(False))).withColumn("output", F.to_json(F.struct(F.lit("NOT_ADDRESSED").alias("verdict"), F.lit("low").alias("confidence"), F.array(F.lit("Nothing was retrieved that bears on this part.")).alias("caveats"))))
     answers = read_answers(keep(told.unionByName(silent).drop("context", "best_")))
-    done = downgrade(ground(answers, found, ["qid"]))
-    return done, sum_up(done)
+    done = ground(answers, found, ["qid"])
+    done = downgrade(done) if act else done
+    return done, sum_up(done, claims, synthesizer)
+
+
+def cases(gold: DataFrame, parts: DataFrame, overall: DataFrame) -> DataFrame:
+    """The cases of ``metrics.generation_metrics`` for ``gold`` (claim_id, gold_verdict, gold_citation) and what ``check`` made of its claims.
+
+    Cited are the sources whose tags an answer names, or else its parts' first three.
+    """
+    cite = lambda keep: F.flatten(F.collect_list(F.transform(F.filter(F.coalesce("sources", F.array().cast("array<struct<final_rank:int,tag:string,citation:string,title:string,source:string,url:string>>")), keep), lambda s: s["citation"])))
+    per = parts.groupBy("claim_id").agg(
+        cite(lambda s: F.array_contains(F.coalesce("valid_tags", F.array().cast("array<string>")), s["tag"])).alias("named"), cite(lambda s: s["final_rank"] < 3).alias("first"),
+        F.avg("quote_fidelity").alias("quote_fidelity"), answer_grade(F.col("grade")).alias("grounding_grade"),
+    )
+    rows = gold.join(overall.select("claim_id", F.col("verdict").alias("predicted_verdict")), "claim_id").join(per, "claim_id")
+    cited = F.when(F.size("named") > 0, F.col("named")).otherwise(F.col("first"))
+    asked_ = F.coalesce("gold_citation", F.lit(""))
+    right = F.when((asked_ != "") & (F.size(cited) > 0), F.exists(cited, lambda c: T.citation_match(c, asked_)))
+    return rows.select("claim_id", "gold_verdict", "predicted_verdict", right.alias("cited_gold"), "quote_fidelity", "grounding_grade")
 
 
 def markdown(overall: DataFrame, parts: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 from evidentia.operators import retrieval
 from evidentia.operators.retrieval import Params
+from evidentia.partitions import spread
+from evidentia.sources.sinks import exists
 
 #: Texts to vectors, one each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -63,18 +65,19 @@ class Index:
     def get(self, chunk_ids: list[str]) -> DataFrame:
         return self.chunks.filter(F.col("chunk_id").isin(*chunk_ids))
 
-    def search(self, queries: DataFrame, qid: str, qtext: str, p: Params = Params(), mode: str = "hybrid", keep: list[str] | None = None, embed: Embedder | None = None, score: Scorer | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, qid: str, qtext: str, p: Params = Params(), mode: str = "hybrid", keep: list[str] | None = None, embed: Embedder | None = None, score: Scorer | None = None, rerank: bool = False) -> DataFrame:
         """(qid, chunk_id, ranks, rrf, rerank, adjusted, final_rank, tag and the chunk's columns) of each query's best chunks.
 
         ``mode`` is hybrid, dense or sparse; dense ranks need vectors and an embedder. Both rankers see the expanded query, the scorer the
-        query as it was asked. The source filter stands behind the candidate cut.
+        query as it was asked. ``rerank`` without a scorer takes ``lexical_score``; with neither, the fused score orders. The source filter
+        stands behind the candidate cut.
         """
         if mode not in ("hybrid", "dense", "sparse"):
             raise ValueError(f"no mode {mode}")
         if mode == "dense" and (self.vectors is None or embed is None):
             raise ValueError("dense retrieval needs vectors and an embedder")
         wide = queries.select(qid, T.expand_query(F.col(qtext)).alias("q_"))
-        none = queries.sparkSession.createDataFrame([], f"{qid} {dict(queries.dtypes)[qid]}, chunk_id string, score double, rank int")
+        none = queries.sparkSession.createDataFrame([], f"{qid} {dict(queries.dtypes)[qid]}, chunk_id {dict(self.chunks.dtypes)['chunk_id']}, score double, rank int")
         sparse = retrieval.ranked(self.postings, self.terms, self.stats, "chunk_id", wide, qid, "q_", p.sparse_k, p) if mode != "dense" else none
         dense = none
         if mode != "sparse" and self.vectors is not None and embed is not None:
@@ -82,19 +85,33 @@ class Index:
             dense = retrieval.dense(self.vectors, "chunk_id", "vector", asked, qid, "v_", p.dense_k)
         fused = retrieval.fuse(dense, sparse, qid, "chunk_id", p.rrf_k)
         pool = fused.join(queries.select(qid, F.col(qtext).alias("asked_")), qid)
-        by = None if score is None else scored(F.col("asked_"), F.col("text"), score)
+        by = scored(F.col("asked_"), F.col("text"), score) if score is not None else retrieval.lexical_score(F.col("asked_"), F.col("text")) if rerank else None
         return retrieval.retrieve(pool, self.chunks.select("chunk_id", *SHOWN), qid, "chunk_id", keep, by, p).drop("asked_")
 
 
+def write_tables(rows: DataFrame, path: str, p: Params = Params()) -> None:
+    """The lexical tables of ``rows`` (chunk_id, text) under ``path``: texts are read once. Postings are ranged by term, so that a query reads few row groups."""
+    spark = rows.sparkSession
+    found = retrieval.postings(spread(rows), "chunk_id", "text")
+    found.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    found = spark.read.parquet(f"{path}/postings")
+    retrieval.corpus_stats(rows, "text", found).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    terms = retrieval.term_stats(found, spark.read.parquet(f"{path}/stats"), p.epsilon)
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def index_of(rows: DataFrame, path: str, p: Params = Params()) -> Index:
+    """An index of a table that is kept elsewhere: only the lexical tables are written, ``rows`` stay the chunks."""
+    write_tables(rows, path, p)
+    return Index(rows, *(rows.sparkSession.read.parquet(f"{path}/{n}") for n in TABLES[1:]))
+
+
 def build_index(chunks: DataFrame, path: str, embed: Embedder | None = None, p: Params = Params()) -> Index:
-    """Writes the index's tables under ``path`` and loads them. Postings are ranged by term, so that a query reads few row groups."""
+    """Writes the index's tables under ``path``, the chunks among them, and loads them."""
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     rows = spark.read.parquet(f"{path}/chunks")
-    retrieval.corpus_stats(rows, "text").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    retrieval.postings(rows, "chunk_id", "text").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    terms = retrieval.term_stats(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), p.epsilon)
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    write_tables(rows, path, p)
     if embed is not None:
         rows.select("chunk_id", embedded(F.col("text"), embed).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
     return load_index(spark, path)
@@ -102,12 +119,7 @@ def build_index(chunks: DataFrame, path: str, embed: Embedder | None = None, p:
 
 def load_index(spark: SparkSession, path: str) -> Index:
     """The index under ``path``; a table that is missing is an error."""
-    jvm = spark.sparkContext._jvm
-
-    def there(name: str) -> bool:
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
-        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
+    there = lambda name: exists(spark, f"{path}/{name}/_SUCCESS")
     missing = [n for n in TABLES if not there(n)]
     if missing:
         raise FileNotFoundError(f"no index at {path}: {', '.join(missing)} missing")

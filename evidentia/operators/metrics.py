@@ -1,4 +1,4 @@
-"""Retrieval and verdict metrics as aggregates. What was not measured is null, not a perfect score."""
+"""Retrieval and verdict metrics as aggregates. Of no cases, fidelity and abstention recall are 1, other shares 0."""
 
 from __future__ import annotations
 
@@ -30,22 +30,27 @@ def verdict_score(predicted: Column, gold: Column) -> Column:
 def generation_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per group: accuracy, partial credit, citation precision, fidelity, hallucination and abstention rates, latency, cost.
 
-    ``cases``: gold_verdict, predicted_verdict, cited_gold (boolean, null where not measured), quote_fidelity, grounding_grade, latency_s, cost_usd.
+    ``cases``: gold_verdict, predicted_verdict, cited_gold (boolean, null without a gold or a cited citation), quote_fidelity (null if there
+    was no quote), grounding_grade, latency_s, cost_usd and, where answers may lose their verdict, downgraded. ``hallucination`` is of all
+    cases, ``residual_hallucination`` of those shown as decisive, ``detected_hallucination`` of those decisive or downgraded.
     """
     gold, pred = F.col("gold_verdict"), F.col("predicted_verdict")
-    bad, final = F.col("grounding_grade") == "UNGROUNDED", pred.isin("SUPPORTED", "CONTRADICTED")
-    share = lambda part, whole: F.round(F.try_divide(F.count_if(part), F.count_if(whole)), 6)
+    bad, final = F.coalesce(F.col("grounding_grade") == "UNGROUNDED", F.lit(False)), pred.isin("SUPPORTED", "CONTRADICTED")
+    decisive = final | F.coalesce("downgraded", F.lit(False)) if "downgraded" in cases.columns else final
+    share = lambda part, whole, none=0.0: F.coalesce(F.round(F.try_divide(F.count_if(part), F.count_if(whole)), 6), F.lit(none))
     none = lambda c: c == "NOT_ADDRESSED"
+    mean = lambda c, none: F.coalesce(F.round(F.avg(F.col(c).cast("double")), 6), F.lit(none))
     return cases.groupBy(*(by or [])).agg(
         F.count("*").alias("n"),
         F.round(F.avg((pred == gold).cast("double")), 6).alias("accuracy"),
         F.round(F.avg(verdict_score(pred, gold)), 6).alias("score"),
-        F.round(F.avg(F.col("cited_gold").cast("double")), 6).alias("citation_precision"),
-        F.round(F.avg("quote_fidelity"), 6).alias("quote_fidelity"),
-        share(bad, F.col("grounding_grade").isNotNull()).alias("hallucination"),
-        share(bad & final, final & F.col("grounding_grade").isNotNull()).alias("residual_hallucination"),
-        F.coalesce(share(none(gold) & none(pred), none(pred)), F.lit(0.0)).alias("abstention_precision"),
-        F.coalesce(share(none(gold) & none(pred), none(gold)), F.lit(1.0)).alias("abstention_recall"),
+        mean("cited_gold", 0.0).alias("citation_precision"),
+        mean("quote_fidelity", 1.0).alias("quote_fidelity"),
+        share(bad, F.lit(True)).alias("hallucination"),
+        share(bad & final, final).alias("residual_hallucination"),
+        share(bad & decisive, decisive).alias("detected_hallucination"),
+        share(none(gold) & none(pred), none(pred)).alias("abstention_precision"),
+        share(none(gold) & none(pred), none(gold), 1.0).alias("abstention_recall"),
         F.round(F.avg("latency_s"), 6).alias("latency_s"),
         F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
     )

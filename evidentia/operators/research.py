@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators.index import Index, lookup_citations
@@ -41,6 +41,21 @@ def fit(result: dict, budget: int = 12_000) -> str:
     return json.dumps({"note": "result too large to include", "n_results": result.get("n_results")})
 
 
+def newest_first(found: DataFrame, qid: str, most: int = 6) -> DataFrame:
+    """The first ``most`` rows of each topic with their ``place``, the latest first; those without a date come last."""
+    order = Window.partitionBy(qid).orderBy(F.desc_nulls_last("effective_date"), "final_rank")
+    return found.filter(F.col("final_rank") < most).withColumn("place", F.row_number().over(order))
+
+
+def per_authority(found: DataFrame, qid: str, kinds: dict[str, list[str]], k: int = 3, other: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each topic and kind of authority, by ``pool_rank``, with ``kind`` and ``place``; sources of no kind are ``other`` or left out."""
+    kind = F.lit(other)
+    for name, sources in kinds.items():
+        kind = F.when(F.col("source").isin(*sources), name).otherwise(kind)
+    place = F.row_number().over(Window.partitionBy(qid, "kind").orderBy("pool_rank"))
+    return found.withColumn("kind", kind).filter("kind is not null").withColumn("place", place).filter(F.col("place") <= k)
+
+
 def _plain(text: str) -> str:
     return re.sub("[§ ]", "", text.lower())
 
@@ -75,7 +90,7 @@ class Assistant:
         return {"n_results": len(rows), "match": how, "passages": rows}
 
     def check_recent_changes(self, topic: str) -> dict:
-        hits = self._found(topic, 6, ["fedreg"]).orderBy(F.desc_nulls_last("effective_date"), "final_rank")
+        hits = newest_first(self._found(topic, 6, ["fedreg"]).withColumn("topic", F.lit(topic)), "topic").orderBy("place")
         rows = [r.asDict() for r in hits.select("citation", "title", "effective_date", "url", F.substring("text", 1, 500).alias("summary")).collect()]  # six rows
         return {"n_results": len(rows), "documents": rows}
 

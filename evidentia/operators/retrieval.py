@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.functions import text as T
+from evidentia.partitions import sent
 
 
 @dataclass(frozen=True)
@@ -25,15 +26,16 @@ class Params:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl): one exchange, combined before it; the length rides along."""
+    """(term, key, tf, dl, held): dl is the text's length in terms, held its distinct ones. One exchange, combined before it."""
     terms = docs.select(key, T.tokenize(F.col(text)).alias("terms"))
-    rows = terms.select(key, F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
-    return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = terms.select(key, F.size("terms").cast("bigint").alias("dl"), F.size(F.array_distinct("terms")).alias("held"), F.explode("terms").alias("term"))
+    return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("held").alias("held"))
 
 
-def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
-    """One row: n documents and average length in terms."""
-    return docs.select(F.size(T.tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_stats(docs: DataFrame, text: str, index: DataFrame) -> DataFrame:
+    """One row: n documents and average length in terms of those that have a text, from their postings."""
+    n = docs.agg(F.count("*").alias("n"), F.count(text).alias("texts"))
+    return n.crossJoin(F.broadcast(index.agg(F.sum("tf").alias("all")))).select("n", (F.coalesce("all", F.lit(0)) / F.nullif("texts", F.lit(0))).alias("avgdl"))  # one row each
 
 
 def term_stats(index: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
@@ -51,34 +53,46 @@ def top_k(rows: DataFrame, by: str, order: list[Column], k: int, rank: str) -> D
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int, p: Params = Params()) -> DataFrame:
-    """(qid, key, score, rank) of the k best documents of each query; ties by key."""
+    """(qid, key, score, rank) of the k best documents of each query; ties by key. For one call: an index that is kept is not built each time."""
     index = postings(docs, key, text)
-    stats = corpus_stats(docs, text)
+    stats = corpus_stats(docs, text, index)
     return ranked(index, term_stats(index, stats, p.epsilon), stats, key, queries, qid, qtext, k, p)
 
 
 def ranked(index: DataFrame, terms: DataFrame, stats: DataFrame, key: str, queries: DataFrame, qid: str, qtext: str, k: int, p: Params = Params()) -> DataFrame:
-    """``bm25`` over an index that is there already: only the postings of the asked terms are joined."""
+    """``bm25`` over an index that is there already. The asked terms are sent to the postings if they are few, so that no posting is moved."""
     asked = queries.select(qid, F.explode(T.tokenize(F.col(qtext))).alias("term")).groupBy("term", qid).agg(F.count("*").alias("qtf"))
-    hits = asked.join(index, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # one row
+    few = sent(asked)
+    hits = index.join(few(terms.join(few(asked), "term")), "term").crossJoin(F.broadcast(stats))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(qid, key).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return top_k(scored, qid, [F.desc("score"), F.col(key)], k, "rank")
 
 
-def overlap(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int) -> DataFrame:
-    """The default deterministic second ranker: distinct query terms a document holds over its distinct terms' root."""
-    held = docs.select(key, F.array_distinct(T.tokenize(F.col(text))).alias("terms")).select(key, F.size("terms").alias("size"), F.explode("terms").alias("term"))
+def overlap(index: DataFrame, key: str, queries: DataFrame, qid: str, qtext: str, k: int) -> DataFrame:
+    """A second lexical ranking, where there is no embedder: distinct query terms a document holds over the root of its distinct terms."""
     asked = queries.select(qid, F.explode(F.array_distinct(T.tokenize(F.col(qtext)))).alias("term"))
-    scored = asked.join(held, "term").groupBy(qid, key).agg(F.round(F.count("*") / F.sqrt(F.first("size")), 6).alias("score"))
+    scored = index.join(sent(asked)(asked), "term").groupBy(qid, key).agg(F.round(F.count("*") / F.sqrt(F.first("held")), 6).alias("score"))
     return top_k(scored, qid, [F.desc("score"), F.col(key)], k, "rank")
 
 
+def lexical_score(asked: Column, text: Column, most: int = 2000) -> Column:
+    """The second ranker where no model is given: the share of the query's distinct terms that the text's first ``most`` characters hold.
+
+    It stays inside Catalyst. Like models of this kind it reads the beginning of a passage, as passages are cut to such a length.
+    """
+    want = F.array_distinct(T.tokenize(asked))
+    held = F.array_intersect(want, T.tokenize(F.substring(text, 1, most)))
+    return F.round(F.coalesce(F.size(held), F.lit(0)) / F.greatest(F.size(want), F.lit(1)), 6)
+
+
 def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qid: str, qvector: str, k: int, most_bytes: int = 64 << 20) -> DataFrame:
     """(qid, key, score, rank): exact inner products of a checked, bounded query set with every row, in blocks of rows."""
-    asked = [(r[0], r[1]) for r in queries.select(qid, queries[qvector].cast("array<double>")).limit(1 + most_bytes // 256).collect()]
-    if len(asked) > most_bytes // 256:
-        raise ValueError("too many queries for one pass: give them in several")
+    wide = queries.select(qid, queries[qvector].cast("array<double>").alias("v_"))
+    size = wide.agg(F.sum(F.size("v_") * 8 + 64).alias("n")).first().n or 0  # before any vector moves
+    if size > most_bytes:
+        raise ValueError(f"queries of {size} bytes are too many for one pass: give them in several")
+    asked = [(r[0], r[1]) for r in wide.filter("v_ is not null").collect()]
     shared = vectors.sparkSession.sparkContext.broadcast(asked)
     id_type = to_arrow_type(queries.schema[qid].dataType)
 
@@ -105,13 +119,13 @@ def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, qid: st
     return top_k(rows, qid, [F.desc("score"), F.col(key)], k, "rank")
 
 
-def fuse(first: DataFrame, second: DataFrame, qid: str, key: str, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion: (qid, key, first_rank, second_rank, rrf, found_by, pool_rank)."""
+def fuse(first: DataFrame, second: DataFrame, qid: str, key: str, k: int = 60, names: tuple[str, str] = ("dense", "sparse")) -> DataFrame:
+    """Reciprocal-rank fusion: (qid, key, first_rank, second_rank, rrf, found_by, pool_rank). found_by is by the rankings' ``names``."""
     a = first.select(qid, key, F.col("rank").alias("first_rank"))
     b = second.select(qid, key, F.col("rank").alias("second_rank"))
     part = lambda c: F.coalesce(1.0 / (k + F.col(c) + 1), F.lit(0.0))
     both = a.join(b, [qid, key], "full").withColumn("rrf", F.round(part("first_rank") + part("second_rank"), 9))
-    both = both.withColumn("found_by", F.concat_ws("+", F.when(F.col("first_rank").isNotNull(), F.lit("dense")), F.when(F.col("second_rank").isNotNull(), F.lit("sparse"))))
+    both = both.withColumn("found_by", F.concat_ws("+", F.when(F.col("first_rank").isNotNull(), F.lit(names[0])), F.when(F.col("second_rank").isNotNull(), F.lit(names[1]))))
     order = [F.desc("rrf"), F.asc_nulls_last("first_rank"), F.asc("second_rank")]
     return both.withColumn("pool_rank", F.row_number().over(Window.partitionBy(qid).orderBy(*order)) - 1)
 

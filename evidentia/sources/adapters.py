@@ -60,15 +60,21 @@ def statute_sections(xml: str, title: int = 8) -> list[tuple[str, str, str, str]
 
 def read_statutes(spark: SparkSession, path: str, title: int = 8, least: int = 80) -> DataFrame:
     """Documents of the sections in force of the XML files at ``path``, under both their numbers; files are parsed in parallel."""
+    return statutes(spark.read.text(path, wholetext=True), title, least)
+
+
+def statutes(files: DataFrame, title: int = 8, least: int = 80) -> DataFrame:
+    """``read_statutes`` of the XML texts in ``value``."""
+    spark = files.sparkSession
 
     def run(batches):
         for b in batches:
             for xml in b["value"]:
                 yield pd.DataFrame(statute_sections(xml, title), columns=["number", "title", "body", "status"])
 
-    rows = spark.read.text(path, wholetext=True).mapInPandas(run, "number string, title string, body string, status string")
+    rows = files.select("value").mapInPandas(run, "number string, title string, body string, status string")
     rows = rows.filter(~F.col("status").isin(*GONE) & (F.length("body") >= least))
-    rows = rows.join(F.broadcast(crosswalk(spark)), F.col("number") == F.col("code_section"), "left")  # a fixed table of some 190 rows
+    rows = rows.join(F.broadcast(crosswalk(spark)), F.col("number") == F.col("code_section"), "left")  # a fixed table of 143 rows
     code, act = F.concat(F.lit(f"{title} U.S.C. § "), "number"), F.concat(F.lit("INA § "), "act_section")
     names = F.concat(F.lit(f"{title} USC "), "number")
     both = F.concat(F.lit("INA "), "act_section", F.lit("; INA section "), "act_section", F.lit("; "), names, F.lit(f"; {title} U.S.C. "), "number")
@@ -88,6 +94,8 @@ NOTICE = (
     "document_number string, title string, abstract string, publication_date string, type string, html_url string, effective_on string, "
     "action string, citation string, agencies array<struct<name:string>>"
 )
+#: The journal's fields that are asked for.
+NOTICE_FIELDS = [c.split()[0] for c in re.sub("<.*?>", "", NOTICE).split(", ")]
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:

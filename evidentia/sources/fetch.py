@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources.sinks import exists
+
 #: What a client returns: the body, or None where nothing is there.
 Get = Callable[[str], bytes | None]
 CACHED = "url_hash string, url string, body binary"
@@ -49,10 +51,7 @@ def insist(get: Get, url: str, tries: int = 3, pause: float = 5.0) -> bytes | No
 
 
 def _cached(spark: SparkSession, cache: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(cache)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(CACHED).parquet(cache) if there else spark.createDataFrame([], CACHED)
+    return spark.read.schema(CACHED).parquet(cache) if exists(spark, cache) else spark.createDataFrame([], CACHED)
 
 
 def fetch(urls: DataFrame, cache: str, get: Get, url: str = "url", tries: int = 3, pause: float = 5.0, delay: float = 10.0) -> DataFrame:

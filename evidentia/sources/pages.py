@@ -148,18 +148,22 @@ def policy_documents(pages: DataFrame, least: int = 400) -> DataFrame:
 
 
 def publications(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> DataFrame:
-    """A document a known publication among the PDF files at ``path``. ``extract`` gives the raw text of a file's bytes; empty texts are left out."""
+    """``publication_documents`` of the PDF files at ``path``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    return publication_documents(files.select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("stem"), "content"), extract)
+
+
+def publication_documents(files: DataFrame, extract: Callable[[bytes], str]) -> DataFrame:
+    """A document a known publication among ``files`` (stem, content). ``extract`` gives the raw text of a file's bytes; empty texts are left out."""
 
     @F.pandas_udf("string")
-    def run(files: pd.Series) -> pd.Series:
-        return files.map(extract)
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(extract)
 
-    known = spark.createDataFrame(PUBLICATIONS, "stem string, citation string, title string, url string, file string")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("stem"), "content")
+    known = files.sparkSession.createDataFrame(PUBLICATIONS, "stem string, citation string, title string, url string, file string")
     rows = files.join(F.broadcast(known), "stem").withColumn("text", T.normalize_ws(T.clean_pdf_text(run("content")))).filter("text <> ''")  # five fixed rows
     return rows.select(
         F.lit("irs_pub").alias("source"), F.concat(F.lit("irs_pub:"), "stem").alias("doc_id"), "citation", "title", "text", "url",
         F.array(F.lit("Internal Revenue Service"), F.col("citation")).alias("breadcrumb"),
         F.create_map(F.lit("pdf"), F.concat(F.lit("https://www.irs.gov/pub/irs-pdf/"), "file", F.lit(".pdf"))).alias("extra"),
     )
-

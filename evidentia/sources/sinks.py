@@ -18,6 +18,12 @@ def write_jsonl(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``, in whatever store Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_report(spark: SparkSession, path: str, report: dict) -> None:
     """One JSON document, one line, through Spark's writer, so that the path may be in any store."""
     spark.createDataFrame([(json.dumps(report, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
