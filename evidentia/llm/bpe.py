@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a tokenization automaton.
 
-The merge list is compiled into a deterministic automaton over tokens. It starts as one state that every base symbol loops on. Each merge
-(a, b) -> ab, in order, adds a merge gadget: the a-transitions into the state T(a) are redirected to a copy of T(a) that lacks b, and ab
-leads wherever b led. All transitions on a token lead to one state, so a state is (token, moment): its outgoing transitions are those of
-T(right part), as they stood when the token was made, less the tokens cut by gadgets up to that moment. A word's token sequence is the
-only accepted path that spells it, found by table-driven transitions; entries of the table are filled when first used. Decoding emits the arc labels (byte strings) of the ids.
+The merge list is compiled into a deterministic automaton over tokens, which starts as one state that every base symbol leads back to. Each
+merge (a, b) -> ab, in order, adds a merge gadget where some path spells a b: a new state, the copy of the state that a leads to without its
+arc on b, to which all arcs on a are redirected, and arcs on ab, beside those on a that were followed by b, to where b leads. So all arcs on
+a token lead to one state, and states are numbered in the order of their gadgets. A copy keeps its original's arcs as a reference: a state
+is stored as (original, arc that it lacks, moment), and its row of the transition table is filled as words ask for arcs. A word's token
+sequence is the only accepted path that spells it; it is found by transitions alone. Decoding emits the arc labels (byte strings) of the ids.
 
 Null text is empty; empty text has no ids; any length is handled; other columns are carried along.
 """
@@ -33,19 +34,25 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Automaton:
-    """Tokens are numbered by vocabulary id; ``labels`` gives each arc's byte string."""
+    """Tokens are numbered by vocabulary id; ``labels`` gives each arc's byte string. State 0 is the first one, whose arcs are never cut."""
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         self.labels = labels
+        self.original, self.lacks, self.born = [0], [-1], [-1]  # by state
+        self.leads: dict[int, int] = {}  # token -> state; those of base symbols that no gadget has redirected lead to state 0
         self.made: dict[int, int] = {}  # token -> moment of its gadget; base symbols have none
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.cut: dict[tuple[int, int], int] = {}  # (a, b) -> moment at which the copy of T(a) lost b
-        self.table: dict[tuple[int, int], bool] = {}
+        self.left: dict[int, int] = {}  # token -> the token beside whose arcs its own were laid
         for moment, (a, b, ab) in enumerate(merges):
-            if (a, b) not in self.cut and self.allows(a, b, moment - 1):  # else no state leads from a to b
-                self.cut[a, b] = moment
-                if ab not in self.made:
-                    self.made[ab], self.parts[ab] = moment, (a, b)
+            before, onward = self.leads.get(a, 0), self.leads.get(b, 0)
+            if not self.arc(before, b):  # no path spells a b
+                continue
+            self.original.append(before)
+            self.lacks.append(b)
+            self.born.append(moment)
+            self.leads[a] = len(self.born) - 1
+            if ab not in self.made:
+                self.made[ab], self.left[ab], self.leads[ab] = moment, a, onward
+        self.table: dict[tuple[int, int], bool] = {}
         self.go: dict[int, int] = {}  # arcs byte by byte: node << 8 | byte -> node
         self.ends: dict[int, int] = {}  # node -> token
         self.shorter: dict[int, int] = {}  # token -> the longest token that is a proper prefix of it
@@ -59,30 +66,26 @@ class Automaton:
                 if prefix is not None:
                     self.shorter[x] = prefix
 
-    def allows(self, a: int, x: int, moment: int) -> bool:
-        """Whether T(a), as it stood at that moment, has a transition on x."""
-        made, cut, parts = self.made, self.cut, self.parts
-        while True:
-            born = made.get(x, -1)
-            while True:
-                lost = cut.get((a, x))
-                if lost is not None and lost <= moment:
+    def arc(self, state: int, x: int) -> bool:
+        """Whether ``state`` has an arc on x: a copy has its original's but one, and arcs that were laid later follow those they were laid beside."""
+        born, made = self.born, self.made
+        while state:
+            if born[state] > made.get(x, -1):
+                if self.lacks[state] == x:
                     return False
-                since = made.get(a, -1)
-                if since <= born or since < 0:
-                    break
-                a, moment = parts[a][1], min(moment, since - 1)  # as it stood before the gadget that made a
-            if born < 0:
-                return True
-            x, moment = parts[x][0], min(moment, born)
+                state = self.original[state]
+            else:
+                x = self.left[x]
+        return True
 
     def step(self, a: int, x: int) -> bool:
-        """The finished automaton's transition from T(a) on x."""
-        found = self.table.get((a, x))
+        """The transition on x from the state that a leads to."""
+        at = (self.leads.get(a, 0), x)
+        found = self.table.get(at)
         if found is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) > 1_000_000:
                 self.table.clear()
-            found = self.table[a, x] = self.allows(a, x, 1 << 60)
+            found = self.table[at] = self.arc(*at)
         return found
 
     def encode(self, word: bytes) -> list[int]:
@@ -129,7 +132,7 @@ def load(path: str):
 class Encoder:
     """Whole texts to ids. Words, and runs between single spaces, are spelled once and kept for a while."""
 
-    def __init__(self, path: str, words: int = 400_000, spaced: int = 250_000):
+    def __init__(self, path: str, words: int = 200_000, spaced: int = 200_000):
         import regex
 
         self.automaton, self.special = load(path)
