@@ -128,7 +128,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text_hash, node, bands): node names the text's words; bands is null where there are none."""
+    """(doc_id, text_hash, node, bands): node is a 128-bit hash of the text's words; it and bands are null where there are none."""
 
     def run(batches):
         known = WordHashes()
@@ -138,18 +138,18 @@ def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
                 d, s, words = shingles(texts[i:j], size, known)
                 sign = bag_minhash(*weighted(d, s), j - i, bands * rows)
                 keys = band_keys(sign, bands, rows)
-                node = [xxhash.xxh3_128_hexdigest(" ".join(w)) if w else None for w in words]
+                node = [xxhash.xxh3_128_digest(" ".join(w)) if w else None for w in words]
                 values = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                 some = pa.array([n is not None for n in node])
                 values = pa.compute.if_else(some, values, pa.scalar(None, values.type))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(node, pa.string()), values], names=["doc_id", "text_hash", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(node, pa.binary()), values], names=["doc_id", "text_hash", "node", "bands"])
 
     rows_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
-    return rows_.mapInArrow(lean(run), "doc_id bigint, text_hash bigint, node string, bands array<bigint>")
+    return rows_.mapInArrow(lean(run), "doc_id bigint, text_hash bigint, node binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Those (a, b) pairs of nodes whose weighted Jaccard similarity is at least ``least``."""
+    """Those (a, b) pairs of ids whose weighted Jaccard similarity is at least ``least``."""
 
     def run(batches):
         known, last, held = WordHashes(), None, None
@@ -162,9 +162,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
                 keep.append(similarity(np.unique(shingles([ta[i]], size, known)[1], return_counts=True), held) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a string, b string")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def elements(texts: list[str], size: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -199,16 +199,16 @@ def linked(a: list[str], b: list[str], size: int, least: float, known: WordHashe
 
 def _blocks(open_: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """Links (a, b) that join the same nodes as all links within the buckets: each task compares two blocks and tells a forest of its links."""
-    rows = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = written(rows.join(texts, "node").select("bucket", "node", "root", "text", "blocks", "own"), "open")
+    rows = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = written(rows.join(texts, "id").select("bucket", "id", "root", "text", "blocks", "own"), "open")
     left = rows.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumnRenamed("own", "i")
     right = reread(rows).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "j")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[str, str]] = []
+        out: list[tuple[int, int]] = []
         if len(a) and len(b):
             known, parent = WordHashes(), {}
-            an, bn, ar, br = (t[c].to_pylist() for c in ("node", "root") for t in (a, b))
+            an, bn, ar, br = (t[c].to_pylist() for c in ("id", "root") for t in (a, b))
 
             def root(v):
                 while parent.setdefault(v, v) != v:
@@ -220,59 +220,65 @@ def _blocks(open_: DataFrame, texts: DataFrame, size: int, least: float) -> Data
                 if u != v:
                     parent[u] = v
                     out.append((an[x], bn[y]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.string()), "b": pa.array([y for _, y in out], pa.string())})
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     keys = ("bucket", "i", "j")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a string, b string")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, size: int = SIZE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text_hash, node, class_id, class_rows) for each row of ``docs``; class_id is the smallest doc_id of the class."""
+    """(doc_id, text_hash, wordless, class_id, class_rows) for each row of ``docs``; class_id is the smallest doc_id of the class."""
     sigs = written(signatures(docs, size, bands, rows), "signatures")
-    nodes = sigs.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash", "bands"), F.struct("doc_id", "text_hash")).alias("r"))
-    nodes = nodes.select("node", "r.doc_id", "r.text_hash", "r.bands")
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    # texts of the same words are one node, which has a whole number from here on
+    first = F.min_by(F.struct("doc_id", "text_hash", "bands"), F.struct("doc_id", "text_hash"))
+    nodes = sigs.filter("node is not null").groupBy("node").agg(first.alias("r"), F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "r.doc_id", "r.text_hash", "r.bands", "low", "n"), "nodes")
+    spread = nodes.select("id", F.explode("bands").alias("bucket"))
     many = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(spread.join(many, "bucket"), "members")
-    typical = members.groupBy("node").agg(F.sum(F.log("n")).alias("t"))
-    members = members.join(typical, "node").select("bucket", "node", "t")
+    typical = members.groupBy("id").agg(F.sum(F.log("n")).alias("t"))
+    members = members.join(typical, "id").select("bucket", "id", "t")
     members = written(members, "members")
-    leader = members.groupBy("bucket").agg(F.max(F.struct("t", "node")).getField("node").alias("leader"))
-    pairs = written(members.join(leader, "bucket").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    leader = members.groupBy("bucket").agg(F.max(F.struct("t", "id")).getField("id").alias("leader"))
+    pairs = written(members.join(leader, "bucket").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     # texts of the nodes that share a bucket with another
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
+    wanted = members.select("id").distinct().join(nodes.select("id", "doc_id", "text_hash"), "id")
     text = docs.select(F.col("doc_id").cast("bigint").alias("i_"), F.xxhash64("text").alias("h_"), F.col("text"))
-    texts = wanted.join(text, (F.col("h_") == F.col("text_hash")) & F.col("i_").eqNullSafe(F.col("doc_id"))).select("node", "text").dropDuplicates(["node"])
+    texts = wanted.join(text, (F.col("h_") == F.col("text_hash")) & F.col("i_").eqNullSafe(F.col("doc_id"))).select("id", "text").dropDuplicates(["id"])
     texts = written(texts, "texts")
     links = written(verified(pairs, texts, size, least), "links")
     part = written(connected(links), "parts")
     # what a bucket holds of different components is compared across them: pairs of rows in small buckets, pairs of blocks in others
-    placed = members.join(part, members.node == part.node, "left").select("bucket", members.node, F.coalesce("root", members.node).alias("root"))
+    placed = members.join(part, members.id == part.node, "left").select("bucket", members.id, F.coalesce("root", members.id).alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("bucket", "n")
     open_ = written(placed.join(split, "bucket"), "open")
     small = open_.filter(F.col("n") <= SMALL)
-    left, right = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
+    left, right = small.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), small.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     cross = left.join(right, "bucket").filter("ra < rb").select("a", "b").distinct()
     done = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = written(verified(cross.join(done, ["a", "b"], "left_anti"), texts, size, least), "links")
-    more = more.unionAll(written(_blocks(open_.filter(F.col("n") > SMALL), texts, size, least), "links"))
-    part = written(connected(links.unionAll(more)), "parts")
-    for x in (texts, members, open_):
+    more = verified(cross.join(done, ["a", "b"], "left_anti"), texts, size, least)
+    large = open_.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        more = more.unionAll(_blocks(large, texts, size, least))
+    more = written(more, "links")
+    if not more.isEmpty():
+        part = written(connected(links.unionAll(more)), "parts")
+    for x in (texts, members, open_, pairs, links, more):
         discard(x)
-    named = sigs.select("doc_id", "text_hash", "node").join(part.withColumnRenamed("root", "r_"), "node", "left")
-    class_ = F.coalesce("r_", "node")
-    groups = sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).join(part.withColumnRenamed("root", "r_"), "node", "left")
-    groups = groups.groupBy(class_.alias("class_")).agg(F.min("low").alias("class_id"), F.sum("n").alias("class_rows"))
-    named = named.select("doc_id", "text_hash", "node", class_.alias("class_"))
-    found = named.join(groups, "class_", "left")
-    alone = F.col("class_rows").isNull()
-    return found.select("doc_id", "text_hash", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("bigint").alias("class_rows"))
+    # node -> class, then one join with the rows
+    held = nodes.select("id", "node", "low", "n").join(part.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "low", "n", F.coalesce("root", "id").alias("class_"))
+    held = written(held, "held")
+    groups = held.groupBy("class_").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_rows"))
+    named = written(reread(held).select("node", "class_").join(groups, "class_").select("node", "class_id", "class_rows"), "named")
+    found = sigs.select("doc_id", "text_hash", "node").join(named, "node", "left")
+    alone = F.col("node").isNull()
+    return found.select("doc_id", "text_hash", alone.alias("wordless"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("bigint").alias("class_rows"))
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id, class_rows, kept of each row; of rows that repeat the kept doc_id one is kept."""
     rows = classes(docs, **how)
-    first = rows.groupBy("doc_id", "text_hash", "class_id", "class_rows", F.col("node").isNull().alias("wordless")).agg(F.count("*").alias("n"))
+    first = rows.groupBy("doc_id", "text_hash", "class_id", "class_rows", "wordless").agg(F.count("*").alias("n"))
     first = first.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & ((F.col("i") == 1) | F.col("wordless"))
     return first.select("doc_id", "class_id", "class_rows", kept.alias("kept"))
@@ -282,7 +288,7 @@ def drop_near(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id. Wordless rows stay."""
     cols = docs.columns
     found = classes(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = found.groupBy(F.col("doc_id").alias("i_"), F.col("text_hash").alias("h_")).agg(F.count("*").alias("ev_n_"), F.max(F.col("node").isNull()).alias("ev_w_"))
+    stay = found.groupBy(F.col("doc_id").alias("i_"), F.col("text_hash").alias("h_")).agg(F.count("*").alias("ev_n_"), F.max("wordless").alias("ev_w_"))
     rows = docs.join(stay, (F.xxhash64("text") == F.col("h_")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("i_")))
     plain = F.col("ev_w_") | (F.col("ev_n_") == 1)
     return rows.filter(plain).select(*cols).unionByName(rows.filter(~plain).dropDuplicates(["i_", "h_"]).select(*cols))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -26,7 +27,7 @@ def shingles(texts: list[str | None], size: int, known: WordHashes):
     """(document of each shingle, its hash, words of each document). A text of fewer words is one shingle of all of them; one of none has none."""
     words = [find_words(t.lower()) if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((h for w in words for h in map(known.__getitem__, w)), np.uint64, int(n.sum()))
+    flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(n.sum()))
     doc = np.repeat(np.arange(len(words)), n)
     docs, hashes = [], []
     if len(flat) >= size:
