@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import lean, runs, with_fields
 
 UND = "und"
-#: Parts in which the rows of one language are ranked.
-SALTS = 64
 
 
 @functools.cache
@@ -88,16 +86,18 @@ def top(doc: np.ndarray, code: np.ndarray, count: np.ndarray, profile: int):
 def learn(docs: DataFrame, sample: int = 2000, profile: int = 300) -> list[tuple[str, int, int]]:
     """(language, rank, n-gram code) rows; at most ``profile`` a language come to the driver."""
     hashed = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    # the greatest hash that the sample takes of each language, found without moving texts
-    # ranked in salted parts first, so that the last ranking of a language meets at most SALTS * sample rows
-    parts = hashed.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
-    parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).filter(F.col("k") <= sample)
-    ranked = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
-    most = [tuple(r) for r in ranked.groupBy("lang").agg(F.max("h")).collect()]  # a row a language
-    if not most:
+    # the greatest hash that the sample takes of each language, found without moving texts: as hashes are even, twice the sample's share of
+    # them holds the least ones, and only so many are ranked
+    rows = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row a language
+    if not rows:
         return []
+    cuts = [(r.lang, int(-(2**63) + min(1.0, 2 * sample / max(1, r.n)) * (2**64 - 1))) for r in rows]
+    cuts = docs.sparkSession.createDataFrame([(lang, min(cut, 2**63 - 1)) for lang, cut in cuts], "lang string, cut bigint")
+    near = hashed.select("lang", "h").join(F.broadcast(cuts), "lang").filter("h <= cut").select("lang", "h").distinct()
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+    most = [tuple(r) for r in ranked.groupBy("lang").agg(F.max("h")).collect()]
     limits = docs.sparkSession.createDataFrame(most, "lang string, most bigint")
-    chosen = hashed.join(F.broadcast(limits), "lang").filter("h <= most")
+    chosen = hashed.join(F.broadcast(limits), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text"))  # a repeated row once
 
     def count(batches):
         for b in batches:
@@ -115,8 +115,8 @@ def learn(docs: DataFrame, sample: int = 2000, profile: int = 300) -> list[tuple
     return [tuple(r) for r in counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= profile).select("lang", F.col("rank") - 1, "code").collect()]
 
 
-def identify(docs: DataFrame, model: list[tuple[str, int, int]], profile: int = 300) -> DataFrame:
-    """``docs`` with lang_pred and score: 1 less the distance over the largest possible one."""
+def identify(docs: DataFrame, model: list[tuple[str, int, int]], profile: int = 300, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and a score, 1 less the distance over the largest possible one, in columns of these ``names``, which are replaced."""
     langs = sorted({r[0] for r in model})
     codes = np.array(sorted({r[2] for r in model}), np.uint64)
     ranks = np.full((len(codes), len(langs)), -1, np.int32)
@@ -124,9 +124,9 @@ def identify(docs: DataFrame, model: list[tuple[str, int, int]], profile: int =
         ranks[np.searchsorted(codes, np.uint64(code)), langs.index(lang)] = rank
 
     def score(texts):
-        names, scores = [UND] * len(texts), [0.0] * len(texts)
+        found, scores = [UND] * len(texts), [0.0] * len(texts)
         if not langs:
-            return names, scores
+            return found, scores
         for i, j in safe(texts):
             doc, code, rank = top(*grams(texts[i:j]), profile)
             if not len(doc):
@@ -138,19 +138,18 @@ def identify(docs: DataFrame, model: list[tuple[str, int, int]], profile: int =
             total, n = np.add.reduceat(away, first), np.diff(np.r_[first, len(doc)])
             best = total.argmin(1)
             for d, b, t, m in zip(doc[first], best, total.min(1), n, strict=True):
-                names[i + d], scores[i + d] = langs[b], float(1 - t / (profile * m))
-        return names, scores
+                found[i + d], scores[i + d] = langs[b], float(1 - t / (profile * m))
+        return found, scores
 
-    at = docs.columns.index("text")
+    plain = docs.drop(*names)
+    at = plain.columns.index("text")
 
     def run(batches):
         for b in batches:
-            names, scores = score(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            found, scores = score(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, *names])
 
-    plain = docs.drop("lang_pred", "score")
-    at = plain.columns.index("text")
-    return plain.mapInArrow(lean(run), with_fields(plain.schema, "lang_pred string, score double"))
+    return plain.mapInArrow(lean(run), with_fields(plain.schema, f"{names[0]} string, {names[1]} double"))
 
 
 def held_out(doc_id) -> Column:
