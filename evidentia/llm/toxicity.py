@@ -3,12 +3,14 @@
 A text is a chain of words, each clean or toxic. State features are the word and its beginnings and endings; transitions join neighbours.
 Only documents carry labels, so training tokens are labelled from them: in a toxic document a word is toxic if one of its features is at
 least ``ratio`` times as common among the sampled toxic documents as among the clean ones, in ``support`` documents or more. The field is
-fitted to these tokens by gradient ascent on the conditional likelihood. Forward-backward marginals give each word's probability; their
-sum, largest value and density aggregate to a document score by a logistic fit on the sampled documents.
-
-Training takes at most ``sample`` documents a class, those of least hash (a documented bound), in one task; scoring reads every whole text.
-Null and empty texts get the score of a text without words; ties and repeated rows are scored alike; without both classes to learn from
-every score is 0; other columns are ignored.
+fitted to these tokens by gradient ascent on the conditional likelihood; what it adds to that list is the weight of each feature and the
+words around. Forward-backward marginals give each word's probability; their sum, largest value and density aggregate to a document score
+by a logistic fit on the sampled documents, and runs of words more likely toxic than not are the offending spans.
+
+Training takes at most ``sample`` documents a class, those of least hash, and of these the first that have ``most_bytes`` of text together
+(documented bounds), in one task; scoring reads every whole text. A doc_id with several texts trains with the least, one with a toxic label
+among others is toxic. Null and empty texts get the score of a text without words; ties and repeated rows are scored alike; without both
+classes to learn from every score is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ WORD = re.compile(r"\w+")
 #: Letters of the beginnings and endings that are features.
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (4, 6)
 
-SALTS = 64
 
 
 def features(word: str) -> list[str]:
@@ -74,7 +75,7 @@ def marginals(emit: np.ndarray, start: np.ndarray, link: np.ndarray) -> tuple[np
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return WORD.findall(text) if text else []
 
 
 def summary(p: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ def fit(texts: list[str | None], toxic: list[int], ratio: float = 6.0, support:
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return {}
-    tokens = [words_of(t) for t in texts]
+    tokens = [[w.lower() for w in words_of(t)] for t in texts]
     vocabulary: dict[str, int] = {}
     ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int64, len(ws)) for ws in tokens]
     names: dict[str, int] = {}
@@ -162,7 +163,7 @@ class Scorer:
         if model:
             get = model["weights"].get
             bias = model["bias"]
-            self.emit = Recent(lambda w: bias + sum(get(f, 0.0) for f in features(w)), 300_000).__getitem__
+            self.emit = Recent(lambda w: bias + sum(get(f, 0.0) for f in features(w.lower())), 150_000).__getitem__
             self.link = np.array(model["link"])
 
     def chains(self, texts: list[str | None]):
@@ -174,39 +175,54 @@ class Scorer:
         p = marginals(emit, start[n > 0], self.link)[0] if len(emit) else emit
         return p, start, n
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def read(self, texts: list[str | None], threshold: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """Scores and spans of the texts."""
         if not self.model:
-            return np.zeros(len(texts))
-        x = (summary(*self.chains(texts)) - self.model["mean"]) / self.model["spread"]
-        return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ np.array(self.model["layer"]), -30, 30)))
+            return np.zeros(len(texts)), [[] for _ in texts]
+        p, start, n = self.chains(texts)
+        x = (summary(p, start, n) - self.model["mean"]) / self.model["spread"]
+        scores = 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ np.array(self.model["layer"]), -30, 30)))
+        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        hits = np.flatnonzero(p >= threshold)
+        for d in np.unique(np.searchsorted(start + n, hits, side="right")).tolist():
+            found[d] = offending(texts[d], p[start[d] : start[d] + n[d]], threshold)
+        return scores, found
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return self.read(texts, 2.0)[0]
 
     def spans(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
-        """(first character, last + 1, largest marginal) of each run of words more likely toxic than not. Offsets are into the lower-cased text."""
-        if not self.model or not text:
-            return []
-        at = [(m.start(), m.end()) for m in WORD.finditer(text.lower())]
-        if not at:
-            return []
-        p, _, _ = self.chains([text])
-        out: list[tuple[int, int, float]] = []
-        for k, ((i, j), q) in enumerate(zip(at, p, strict=True)):
-            if q >= threshold:
-                joined = out and k and p[k - 1] >= threshold
-                out[-1:] = [(out[-1][0], j, max(out[-1][2], float(q)))] if joined else [*out[-1:], (i, j, float(q))]
-        return out
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> dict:
+        return self.read([text], threshold)[1][0]
+
+
+def offending(text: str, p: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(first character, last + 1, largest marginal) of each run of words whose marginals reach the threshold, as offsets into ``text``."""
+    out: list[tuple[int, int, float]] = []
+    before = False
+    for m, q in zip(WORD.finditer(text), p.tolist(), strict=True):
+        if q >= threshold:
+            if before:
+                out[-1] = (out[-1][0], m.end(), max(out[-1][2], q))
+            else:
+                out.append((m.start(), m.end(), q))
+        before = q >= threshold
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 1500, most_bytes: int = 32 << 20) -> dict:
     """Fits on at most ``sample`` documents a class that have a text and a label and aren't held out, in one task."""
     known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     there = docs.filter("text is not null").select("doc_id").filter(~held_out(F.col("doc_id")))
-    ids = known.join(there, "doc_id", "left_semi")
-    # ranked in salted parts first, so that the last ranking of a class meets at most SALTS * sample ids
-    ids = ids.withColumn("h", F.xxhash64("doc_id"))
-    for by in (["toxic", F.pmod("h", F.lit(SALTS))], ["toxic"]):
-        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("k") <= sample)
+    ids = known.join(there, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    # as hashes are even, twice the sample's share of them holds the least ones, and only so many are ranked
+    share = ids.groupBy("toxic").agg(F.count("*").alias("n")).select("toxic", F.least(F.lit(1.0), 2.0 * sample / F.col("n")).alias("share"))  # two rows
+    near = ids.join(F.broadcast(share), "toxic").filter(F.shiftrightunsigned("h", 11) < F.col("share") * F.lit(float(1 << 53)))
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.shiftrightunsigned("h", 11), "doc_id"))
+    picked = near.withColumn("k", place).filter(F.col("k") <= sample).select("doc_id", "toxic", "k")
     # at most 2 * sample ids: their texts are found without a shuffle of the others
-    chosen = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").dropDuplicates(["doc_id"])
+    chosen = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("toxic", "k").agg(F.min("text").alias("text"))
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("k"))
+    chosen = chosen.withColumn("size", size).filter((F.col("size") <= most_bytes) | (F.col("k") == 1))
 
     def run(batches):
         texts, toxic = [], []
@@ -224,12 +240,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def detect(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> DataFrame:
-    """doc_id, held_out, score, predicted of every text."""
+    """doc_id, held_out, score, predicted and the offending spans of every text."""
     model = learn(docs, labels, sample)
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
 
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("marginal", pa.float64())]))
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
+
+def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score and spans (first character, last + 1, largest marginal) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches):
@@ -237,20 +257,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in runs(texts, 1_000_000):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(scorer.scores(texts[i:j]))], names=["doc_id", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(lean(run), with_fields(docs.select("doc_id").schema, "score double"))
-
-
-def spans(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """One row per offending run of words: doc_id, first, last, marginal."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        scorer = Scorer(shared.value)
-        for b in batches:
-            rows = [(d, *s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in scorer.spans(t, threshold)]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "first", "last", "marginal"])
+                scores, found = scorer.read(texts[i:j], threshold)
+                spans = [[{"first": f, "last": t, "marginal": q} for f, t, q in x] for x in found]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(scores), pa.array(spans, SPANS)], names=["doc_id", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), with_fields(docs.select("doc_id").schema, "first int, last int, marginal double"))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), with_fields(docs.select("doc_id").schema, "score double, spans array<struct<first:int,last:int,marginal:double>>"))
