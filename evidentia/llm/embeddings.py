@@ -11,7 +11,8 @@ cluster's size, and emit a row a node, not the links.
 The overlap starts where pairs of cosine ``least``, made from sampled rows, share a shard; it grows with the number of centroids. Recall is
 audited on sampled nodes against all rows: nodes are drawn until ``linked`` of them have a link, all are drawn or ``most_audited`` are. It
 is the lower of the share of their distinct linked pairs and the mean share of a node with links, so that a large group hides no small one;
-below ``recall`` the overlap is doubled and the work repeated. If no drawn node has a link, nothing was measured and audit_recall is null.
+below ``recall`` the overlap is doubled and the work repeated; once it covers all clusters, blocks are compared whole instead of searched,
+which misses nothing. If no drawn node has a link, nothing was measured and audit_recall is null.
 
 Null vectors, zero vectors and vectors with null or non-finite components link with nothing, and every such row is its own component;
 vectors of different dimensions are never linked; copies are linked with each other; a null vec_id counts as a link but names no component
@@ -198,6 +199,13 @@ def search(x: np.ndarray, lists: list[list[int]], q: np.ndarray, least: float, b
     return tuple(np.concatenate(a) for a in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
 
 
+def compare(x: np.ndarray, q: np.ndarray, least: float):
+    """(query, row, cosine) of all pairs with cosine >= ``least``."""
+    sim = q @ x.T
+    r, c = np.nonzero(sim >= least)
+    return r, c, np.einsum("ij,ij->i", q[r], x[c])
+
+
 def _sharded(nodes: DataFrame, by_dim: dict[int, np.ndarray], overlap: int) -> DataFrame:
     """``nodes`` with the array of their shards."""
     offset, at = {}, 0
@@ -233,8 +241,11 @@ def _graphs(index: DataFrame) -> DataFrame:
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def _linked(index: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(node, links, pairs, root): in each pair of blocks, how many rows and nodes a query is linked to, and a node that it is connected to."""
+def _linked(index: DataFrame, queries: DataFrame, least: float, whole: bool = False) -> DataFrame:
+    """(node, links, pairs, root): in each pair of blocks, how many rows and nodes a query is linked to, and a node that it is connected to.
+
+    ``whole`` compares all of a block with all of the other instead of searching it.
+    """
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"node": [], "links": [], "pairs": [], "root": []}
@@ -243,7 +254,7 @@ def _linked(index: DataFrame, queries: DataFrame, least: float) -> DataFrame:
             xn, qn, weight, shard = np.array(a["node"]), np.array(b["node"]), np.array(a["n"]), a["shard"][0].as_py()
             place = {v: i for i, v in enumerate(xn.tolist())}
             lists = [[place[v] for v in near if v in place] for near in a["near"].to_pylist()]
-            r, c, sim = search(x, lists, q, least - 1e-9)
+            r, c, sim = compare(x, q, least - 1e-9) if whole else search(x, lists, q, least - 1e-9)
             good = (sim >= least) & (qn[r] != xn[c])
             r, c = r[good], c[good]
             xs, qs = [set(s) for s in a["shards"].to_pylist()], [set(s) for s in b["shards"].to_pylist()]
@@ -283,7 +294,8 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     samples, links, parts, measured = {}, None, None, None
     for d, n in dims.items():
         share = min(1.0, 1.2 * sample / n)
-        some = nodes.filter((F.length("unit") == 8 * d) & (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("unit").limit(sample).collect()
+        drawn = nodes.filter((F.length("unit") == 8 * d) & (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+        some = drawn.orderBy(F.xxhash64("node"), "node").select("unit").limit(sample).collect()
         samples[d] = matrix([bytes(r.unit) for r in some]) if some else np.eye(1, d)
     held = {d: x[: min(2000, len(x) // 4)] for d, x in samples.items()}  # centroids lie nearer to pairs of the rows they were fitted on
     while True:
@@ -293,6 +305,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
             break
         overlap = least_overlap
     truth = _audit(nodes, least, audited, linked, most_audited) if total else {}
+    whole = False
     while total:
         sharded = written(_sharded(nodes, by_dim, overlap), "sharded")
         sized = sharded.withColumn("shard", F.explode("shards"))
@@ -303,7 +316,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         lists = _graphs(sized.withColumnRenamed("own", "iblock").select("shard", "iblock", "node", "unit"))
         index = sized.join(written(lists, "lists"), "node").withColumnRenamed("own", "iblock").withColumn("qblock", F.explode(every))
         queries = reread(sized).withColumnRenamed("own", "qblock").withColumn("iblock", F.explode(every))
-        found = _linked(index.select("shard", "iblock", "qblock", "node", "unit", "n", "shards", "near"), queries.select("shard", "iblock", "qblock", "node", "unit", "shards"), least)
+        found = _linked(index.select("shard", "iblock", "qblock", "node", "unit", "n", "shards", "near"), queries.select("shard", "iblock", "qblock", "node", "unit", "shards"), least, whole)
         found = written(found, "linked")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         got = {r.node: r.pairs for r in found.filter(F.col("node").isin(list(truth))).groupBy("node").agg(F.sum("pairs").alias("pairs")).collect()}
@@ -311,9 +324,10 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         measured = min(sum(met.values()) / sum(truth.values()), sum(met[k] / truth[k] for k in truth) / len(truth)) if truth else None
         for t in (sharded, sized):
             discard(t)
-        if measured is None or measured >= recall or all(overlap >= len(c) for c in by_dim.values()):
+        if measured is None or measured >= recall or whole:
             parts = written(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "parts")
             break
+        whole = all(overlap >= len(c) for c in by_dim.values())
         overlap *= 2
     spark = rows.sparkSession
     if links is None:
