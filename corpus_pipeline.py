@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import exact_dedup, langid, minhash, packing, suffix
 from evidentia.llm.common import written
+from evidentia.partitions import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, whose language can't be told. Repeated rows and null ids stay."""
+    """Drops texts without a letter, whose language can't be told. Repeated rows and null ids stay; without labels to learn from, all texts with a letter."""
     model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
-    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UND).select(*docs.columns)
+    if not model:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    names = ("ev_lang_", "ev_score_")  # a user's column of the operator's usual names isn't touched
+    return langid.identify(docs, model, names=names).filter(F.col(names[0]) != langid.UND).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
