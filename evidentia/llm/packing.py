@@ -34,35 +34,40 @@ def unlike() -> str:
 class Tokens:
     """Whole texts to ids, as little-endian bytes. A text is split into pieces that are encoded alike anywhere; those are kept for a while."""
 
-    def __init__(self, path: str, most: int = 120_000, together: int = 256):
+    def __init__(self, path: str, most: int = 250_000, together: int = 256):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
         self.tok, self.together = tok, together
+        vocabulary = tok.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.all = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self.kept = Recent(self.all, most)
         self.piece = self.kept.__getitem__
-        self.odd = re.compile(f"[\x1c-\x1f<{unlike()}]").search  # white space to Python alone, the start of special tokens, letters that become others
+        # white space to Python alone, the start of special tokens, the letter whose lower case depends on its place, letters that become others
+        self.odd = re.compile(f"[\x1c-\x1f<\u03a3{unlike()}]").search
         self.joined = re.compile(r"[.,][^\s\w]|[^\s\w][.,]|_").search  # a stop or comma that isn't a token by itself
+        self.foreign = re.compile("[^ a-z\u00df-\u00f6\u00f8-\u024f]").search
 
     def pieces(self, text: str | None) -> list[str]:
-        """Words, stops and commas of most texts; of others, what stands between white space, without the marks behind words."""
+        """Words in lower case, stops and commas of most texts; of others, what stands between white space, without the marks behind words."""
         if not text:
             return []
         if self.odd(text):
             return [text]
         if not self.joined(text):
-            return text.replace(",", " , ").replace(".", " . ").split()
+            return text.lower().replace(",", " , ").replace(".", " . ").split()
         out = []
-        for run in text.split():
+        for run in text.lower().split():
             word = run.rstrip(".,!?;:$%&*#|")
             out += (word, run[len(word) :]) if word.isalpha() and len(word) < len(run) else (run,)
         return out
 
     def meet(self, texts: list[list[str]]) -> None:
-        """Encodes the new words among the pieces of ``texts`` many at a time. Where an id's characters begin tells whose word it is of."""
+        """Encodes the new words among the pieces of ``texts`` many at a time."""
         seen: set[str] = set()
         for t in texts:
             seen.update(t)
@@ -70,13 +75,23 @@ class Tokens:
         new = [w for w in seen if w not in kept and w not in older and w.isalpha()]
         for i in range(0, len(new), self.together):
             some = new[i : i + self.together]
-            got = self.tok.encode(" ".join(some), add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
-            cuts = (4 * np.searchsorted([start for start, _ in got.offsets], begins)).tolist()
+            raw, cuts = self.ids_of(some)
             for k, word in enumerate(some):
                 kept.put(word, raw[cuts[k] : cuts[k + 1]])
 
+    def ids_of(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of words of letters, as bytes, and where each word's begin and end."""
+        text = " ".join(words)
+        if not self.foreign(text):  # a word of Latin letters ends at the one token that closes it
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(words):
+                return ids.tobytes(), [0, *(4 * ends).tolist()]
+        got = self.tok.encode(text, add_special_tokens=False)  # where an id's characters begin tells whose word it is of
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = 4 * np.searchsorted([start for start, _ in got.offsets], begins)
+        return np.array(got.ids, "<u4").tobytes(), cuts.tolist()
+
     def encode(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.piece, pieces))
 
