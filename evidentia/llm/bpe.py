@@ -4,7 +4,7 @@ The merge list is compiled into a deterministic automaton over tokens, which sta
 merge (a, b) -> ab, in order, adds a merge gadget where some path spells a b: a new state, the copy of the state that a leads to without its
 arc on b, to which all arcs on a are redirected, and arcs on ab, beside those on a that were followed by b, to where b leads. So all arcs on
 a token lead to one state, and states are numbered in the order of their gadgets. A copy keeps its original's arcs as a reference: a state
-is stored as (original, arc that it lacks, moment), and its row of the transition table is filled as words ask for arcs. A word's token
+is stored as its moment, its original and the arc that it lacks, and its row of the transition table is filled as words ask for arcs. A word's token
 sequence is the only accepted path that spells it; it is found by transitions alone. Decoding emits the arc labels (byte strings) of the ids.
 
 Null text is empty; empty text has no ids; any length is handled; other columns are carried along.
@@ -12,6 +12,7 @@ Null text is empty; empty text has no ids; any length is handled; other columns
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import json
@@ -38,7 +39,10 @@ class Automaton:
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         self.labels = labels
-        self.original, self.lacks, self.born = [0], [-1], [-1]  # by state
+        self.born, self.of = [-1], [-1]  # by state: the moment of its gadget, the token whose arcs lead to it
+        self.first: dict[int, int] = {}  # token -> the state that the first copy for it was made of
+        self.copies: dict[int, tuple[list[int], list[int]]] = {}  # token -> moments and states of the copies for it, each made of the one before
+        self.lost: dict[tuple[int, int], int] = {}  # (token, arc) -> the moment of the copy for the token that lacks the arc
         self.leads: dict[int, int] = {}  # token -> state; those of base symbols that no gadget has redirected lead to state 0
         self.made: dict[int, int] = {}  # token -> moment of its gadget; base symbols have none
         self.left: dict[int, int] = {}  # token -> the token beside whose arcs its own were laid
@@ -46,72 +50,76 @@ class Automaton:
             before, onward = self.leads.get(a, 0), self.leads.get(b, 0)
             if not self.arc(before, b):  # no path spells a b
                 continue
-            self.original.append(before)
-            self.lacks.append(b)
+            moments, states = self.copies.setdefault(a, ([], []))
+            self.first.setdefault(a, before)
+            self.leads[a] = len(self.born)
+            moments.append(moment)
+            states.append(len(self.born))
             self.born.append(moment)
-            self.leads[a] = len(self.born) - 1
+            self.of.append(a)
+            self.lost[a, b] = moment
             if ab not in self.made:
                 self.made[ab], self.left[ab], self.leads[ab] = moment, a, onward
-        self.table: dict[tuple[int, int], bool] = {}
-        self.go: dict[int, int] = {}  # arcs byte by byte: node << 8 | byte -> node
-        self.ends: dict[int, int] = {}  # node -> token
-        self.shorter: dict[int, int] = {}  # token -> the longest token that is a proper prefix of it
-        for x, label in sorted(labels.items(), key=lambda kv: len(kv[1])):
-            if x in self.made or len(label) == 1:
-                node, prefix = 0, None
-                for byte in label:
-                    prefix = self.ends.get(node, prefix)
-                    node = self.go.setdefault(node << 8 | byte, len(self.go) + 1)
-                self.ends[node] = x
-                if prefix is not None:
-                    self.shorter[x] = prefix
+        self.table: dict[int, bool] = {}  # state << 32 | token -> whether there is an arc
+        self.spelled = {label: x for x, label in labels.items() if x in self.made or len(label) == 1}
+        self.reach: dict[bytes, int] = {}  # four bytes -> the longest label that they begin
+        for label in self.spelled:
+            if len(label) > 3:
+                self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 0))
+        self.to = [self.leads.get(x, 0) for x in range(max(labels, default=-1) + 1)]
 
     def arc(self, state: int, x: int) -> bool:
         """Whether ``state`` has an arc on x: a copy has its original's but one, and arcs that were laid later follow those they were laid beside."""
         born, made = self.born, self.made
         while state:
-            if born[state] > made.get(x, -1):
-                if self.lacks[state] == x:
-                    return False
-                state = self.original[state]
-            else:
+            since = made.get(x, -1)
+            if born[state] <= since:
                 x = self.left[x]
+                continue
+            token = self.of[state]
+            if self.lost.get((token, x), born[state] + 1) <= born[state]:
+                return False
+            moments, states = self.copies[token]  # back to the last copy that was there when x was made
+            k = bisect.bisect_right(moments, since)
+            state = states[k - 1] if k else self.first[token]
         return True
 
-    def step(self, a: int, x: int) -> bool:
-        """The transition on x from the state that a leads to."""
-        at = (self.leads.get(a, 0), x)
-        found = self.table.get(at)
-        if found is None:
-            if len(self.table) > 1_000_000:
-                self.table.clear()
-            found = self.table[at] = self.arc(*at)
-        return found
-
     def encode(self, word: bytes) -> list[int]:
         """The ids of the accepted path that spells ``word``: longest arcs first, stepping back from positions that lead nowhere.
 
         A prefix has one accepted path, so a position that was left is never entered again.
         """
-        go, ends, labels, shorter, n = self.go, self.ends, self.labels, self.shorter, len(word)
-        out, at, dead = [], 0, bytearray(n + 1)
+        spelled, labels, to, table, reach, n = self.spelled, self.labels, self.to, self.table, self.reach.get, len(word)
+        whole = spelled.get(word)
+        if whole is not None:
+            return [whole]
+        out, states, at, state, dead = [], [], 0, 0, set()
+        end = min(n, reach(word[:4], 3))
         while at < n:
-            node, x = 0, None
-            for i in range(at, n):
-                node = go.get(node << 8 | word[i])
-                if node is None:
-                    break
-                x = ends.get(node, x)
-            while True:
-                if not dead[at + len(labels[x])] and (not out or self.step(out[-1], x)):
-                    out.append(x)
-                    at += len(labels[x])
-                    break
-                x = shorter.get(x)
-                if x is None:
-                    dead[at] = 1
-                    x = out.pop()
-                    at -= len(labels[x])
+            while end > at:
+                x = spelled.get(word[at:end])
+                if x is not None and end not in dead:
+                    key = state << 32 | x
+                    ok = table.get(key)
+                    if ok is None:
+                        if len(table) > 1_000_000:
+                            table.clear()
+                        ok = table[key] = self.arc(state, x)
+                    if ok:
+                        break
+                end -= 1
+            if end > at:
+                out.append(x)
+                states.append(state)
+                state, at = to[x], end
+                end = at + reach(word[at : at + 4], 3)
+                if end > n:
+                    end = n
+            else:
+                dead.add(at)
+                end = at - 1
+                at -= len(labels[out.pop()])
+                state = states.pop()
         return out
 
 
@@ -132,14 +140,13 @@ def load(path: str):
 class Encoder:
     """Whole texts to ids. Words, and runs between single spaces, are spelled once and kept for a while."""
 
-    def __init__(self, path: str, words: int = 200_000, spaced: int = 200_000):
+    def __init__(self, path: str, words: int = 400_000, spaced: int = 250_000):
         import regex
 
         self.automaton, self.special = load(path)
         self.words = regex.compile(PRE_SPLIT).findall
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        # a space that has no white space beside it begins a word; anything else is left to the pattern
-        self.odd = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]").search
+        self.rare = re.compile(r"[^\S \n]|[\x1c-\x1f]").search  # white space but blanks and line ends
         encode = self.automaton.encode
         self.word = Recent(lambda w: ",".join(map(str, encode(w.encode()))), words).__getitem__
         self.spaced = Recent(self._spaced, spaced).__getitem__
@@ -158,7 +165,8 @@ class Encoder:
     def _plain(self, text: str) -> str:
         if not text:
             return ""
-        if self.odd(text):
+        # a blank that has no white space beside it begins a word; anything else is left to the pattern
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.rare(text):
             return self._spell(text)
         first, *rest = text.split(" ")
         return ",".join([self._spell(first), *map(self.spaced, rest)])
