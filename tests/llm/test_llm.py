@@ -454,3 +454,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (700, 700)]
     roots = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(roots[i] == 0 for i in range(201)) and roots[502] == 500
+
+
+def test_queries_match_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from evidentia.llm import queries
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    for name, sql in queries.SQL.items():
+        got = queries.QUERIES[name](spark, SF)
+        want = con.execute(sql)
+        names = [c[0] for c in want.description]
+        assert sorted(names) == sorted(got.columns), name
+        rows = lambda table, at: sorted(tuple(round(r[k], 12) if isinstance(r[k], float) else r[k] for k in at) for r in table)
+        assert rows(got.collect(), sorted(names)) == rows(want.fetchall(), [names.index(n) for n in sorted(names)]), name
