@@ -16,6 +16,7 @@ from evidentia.functions import text as T
 from evidentia.operators import chunking, factcheck, metrics, research
 from evidentia.operators.index import build_index, chunk_report, load_index, resolve_gold
 from evidentia.operators.retrieval import Params
+from evidentia.partitions import workspace
 from evidentia.sources import collect, fetch, parsers, sinks
 
 GOLD = "id string, claim string, gold_verdict string, gold_citation string, category string, difficulty string, notes string, citation_granularity string, domain string"
@@ -201,7 +202,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    return a.run(spark or SparkSession.builder.appName("evidentia").getOrCreate(), a)
+    spark = spark or SparkSession.builder.appName("evidentia").getOrCreate()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(workspace(spark))
+    return a.run(spark, a)
 
 
 if __name__ == "__main__":

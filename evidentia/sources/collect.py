@@ -44,7 +44,7 @@ def collect(spark: SparkSession, source: str, cache: str, get: Get, day: datetim
             raise LookupError(f"nothing at {url}")
         return bytes(found[0].body).decode("utf-8", "replace")
 
-    text = F.decode("body", "UTF-8")
+    text = F.make_valid_utf8(F.col("body").cast("string"))
     if source == "ecfr":
         url = fetch.regulations_url(CODE, 8, (day - datetime.timedelta(days=2)).isoformat())  # the latest days may not be there yet
         rows = parsers.regulations(got([url]).select(text.alias("value")), 8)

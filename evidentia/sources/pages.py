@@ -160,6 +160,7 @@ def publication_documents(files: DataFrame, extract: Callable[[bytes], str]) ->
     def run(contents: pd.Series) -> pd.Series:
         return contents.map(extract)
 
+    run = run.asNondeterministic()  # so that no filter takes it below the join, to files of other kinds
     known = files.sparkSession.createDataFrame(PUBLICATIONS, "stem string, citation string, title string, url string, file string")
     rows = files.join(F.broadcast(known), "stem").withColumn("text", T.normalize_ws(T.clean_pdf_text(run("content")))).filter("text <> ''")  # five fixed rows
     return rows.select(

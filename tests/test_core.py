@@ -132,3 +132,66 @@ def test_found_before_rounding(spark):
     body = ("abcdefghijklmnopqrstuvw" * 3)[:48]
     rows = spark.createDataFrame([(body + "z" * 17, body), (body, body)], "quote string, body string")  # 96 / 113 = 0.84956
     assert sorted((r.similarity, r.found) for r in verify_quotes(rows, "quote", "body").collect()) == [(0.85, False), (1.0, True)]
+
+
+def test_reasoning_is_left_out(spark):
+    cases = {"<think>a</think> b": "b", "x <THINK>a\nb</think>y <think>c</think> z": "x y  z", "<think>cut off": "cut off", "a <think>b</think> c <think>d": "d", "plain": "plain"}
+    rows = spark.createDataFrame(list(cases), "string").select("value", T.strip_think(F.col("value")).alias("t")).collect()
+    assert {r.value: r.t for r in rows} == cases
+
+
+def test_short_and_long_quotes(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(40)]
+    quotes = [(i, " ".join(docs[i][1].split()[a : a + n])[cut:]) for i, (a, n, cut) in enumerate((rng.randint(0, 50), rng.randint(1, 9), rng.randint(0, 2)) for _ in range(30))] + [(99, "none of it is there at all"), (98, "")]
+    want = {(q, d) for q, t in quotes for d, b in docs if t and t in b}
+    got = verification.quotes_in(spark.createDataFrame(quotes, "q long, t string"), "q", "t", spark.createDataFrame(docs, "d long, b string"), "d", "b")
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    few = verification.quotes_in(spark.createDataFrame(quotes, "q long, t string"), "q", "t", spark.createDataFrame(docs, "d long, b string"), "d", "b", most=1)
+    assert {tuple(r) for r in few.collect()} == want
+
+
+def test_best_window_is_that_of_all_windows():
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        body = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 150)))
+        quote = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 60)))
+        step = max(1, len(quote) // 4)
+        windows = [body[i : i + len(quote) + step] for i in range(0, len(body) - len(quote) + 1, step)] or [body]
+        want = 1.0 if quote in body else max(difflib.SequenceMatcher(None, quote, w).ratio() for w in windows)
+        assert verification.similarity(quote, body) == want
+    assert verification.similarity("", "a") == verification.similarity("a", "") == 0
+
+
+def test_cuts_are_those_of_a_fold():
+    import random
+    import re
+
+    def fold(text, target, overlap):
+        done, held = [], ""
+        for s in re.split(r"(?<=[.;:])\s+(?=[A-Z(])", text):
+            if held and len(held) + len(s) > target:
+                done, held = [*done, held.strip()], f"{held[-overlap:] if overlap else ''} {s}"
+            else:
+                held = f"{held} {s}".strip()
+        return [*done, held.strip()]
+
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "  ".join(f"{rng.choice('ABC(')}{'x y ' * rng.randint(0, 12)}z{rng.choice('.;:')}" for _ in range(rng.randint(1, 30)))
+        target, overlap = rng.randint(5, 120), rng.randint(0, 30)
+        assert chunking.split_oversized(text, target, overlap) == fold(text, target, overlap)
+
+
+def test_odd_trees_and_dates(spark):
+    trees = [None, "", "{broken", "[]", "[1, null]", '{"text": " a  b ", "url": "/X.HTML"}']
+    rows = spark.createDataFrame(list(enumerate(trees)), "i int, t string").select("i", parsers.flatten_tree(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [len(r.x) for r in rows] == [0, 0, 0, 0, 0, 1] and rows[-1].x[0].text == "a b"
+    dates = spark.createDataFrame([("(CT:VISA-1; 13-45-2020)",), ("(CT:VISA-1; 02-03-2020)",), (None,), ("none",)], "t string").select(parsers.effective_date(F.col("t")).cast("string").alias("d"))
+    assert [r.d for r in dates.collect()] == [None, "2020-02-03", None, None]

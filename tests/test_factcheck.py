@@ -224,3 +224,96 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["evaluate", "--reports", str(tmp_path / "rep"), *gold, *at], spark) == 0
     out = capsys.readouterr().out
     assert '"tag":"S1"' in out and '{"ok": 1}' in out and "| BM25 only | 1 | 1.0" in out and "dense only" not in out
+
+
+def splitter(prompts):
+    return prompts.map(lambda p: '<think>two parts</think>{"subclaims": [{"text": "A student may stay for the course of study"}, {"text": "A worker must leave after one week only"}]}' if "and a worker" in p else "no idea")
+
+
+def synthesizer(prompts):
+    return prompts.map(lambda p: '{"verdict": "PARTIALLY_SUPPORTED", "confidence": "medium", "summary": "Half of it.", "explanation": "One part holds.", "caveats": ["ask"]}' if "course of study" in p else "?")
+
+
+def test_splitter_and_synthesizer(spark, index):
+    claims = spark.createDataFrame([("c1", "A student may stay for the course of study and a worker must leave after one week only"), ("c2", "A student may stay")], "claim_id string, claim string")
+    parts, overall = factcheck.check(claims, lambda q: index.search(q, "qid", "claim", Params(authority=0.0), rerank=True), model, splitter=splitter, synthesizer=synthesizer)
+    assert sorted((r.claim_id, r.part) for r in parts.collect()) == [("c1", 1), ("c1", 2), ("c2", 1)]
+    got = {r.claim_id: r for r in overall.collect()}
+    assert (got["c1"].verdict, got["c1"].confidence, got["c1"].summary, got["c1"].caveats) == ("PARTIALLY_SUPPORTED", "medium", "Half of it.", ["ask"])
+    assert got["c2"].verdict == "SUPPORTED" and got["c2"].n_parts == 1
+    (first, *_) = sorted(parts.collect(), key=lambda r: (r.claim_id, r.part))
+    assert [s.tag for s in first.sources][:1] == ["S1"]
+
+
+def test_lexical_rerank(spark, index):
+    asked = spark.createDataFrame([(1, "specialty occupation worker petition")], "qid long, q string")
+    rows = {r.citation: r.rerank for r in index.search(asked, "qid", "q", Params(authority=0.0), "sparse", rerank=True).collect()}
+    assert rows["8 CFR § 214.2(h)"] == 1.0 and max(rows.values()) == 1.0
+
+
+def test_generation_evaluation(spark, index, tmp_path, capsys):
+    docs = [dict(zip(("source", "doc_id", "citation", "title", "text", "url", "breadcrumb"), d, strict=True)) for d in DOCS[:3]]
+    (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, docs)))
+    gold = [
+        {"id": "1", "claim": "A student may stay for the course of study", "gold_verdict": "SUPPORTED", "gold_citation": "8 CFR 214.2(f)"},
+        {"id": "2", "claim": "An officer must read nothing", "gold_verdict": "NOT_ADDRESSED", "gold_citation": ""},
+    ]
+    (tmp_path / "g.jsonl").write_text("\n".join(map(json.dumps, gold)))
+    at = ["--index", str(tmp_path / "i")]
+    assert cli.main(["build-index", "--documents", str(tmp_path / "d.jsonl"), "--embed", f"{__name__}:hashed", *at], spark) == 0
+    run = ["evaluate", "--gold", str(tmp_path / "g.jsonl"), "--model", f"{__name__}:model", "--embed", f"{__name__}:hashed", "--reports", str(tmp_path / "rep"), *at]
+    assert cli.main([*run, "--configs", "no_retrieval", "simple_retrieval", "full_no_decompose", "full"], spark) == 0
+    rows = {r["row"]["config"]: r["row"] for r in sinks.report_rows(sinks.read_reports(spark, str(tmp_path / "rep" / "*")))}
+    assert list(rows) == sinks.CONFIGS and all(float(r["accuracy"]) == 0.5 and r["n"] == "2" for r in rows.values())
+    control, full = rows["no_retrieval"], rows["full_no_decompose"]
+    assert float(control["residual_hallucination"]) == 1 and float(control["citation_precision"]) == 0
+    assert float(full["citation_precision"]) == 1 and float(full["residual_hallucination"]) == 0.5 and float(full["quote_fidelity"]) == 0.5
+    assert cli.main([*run, "--all"], spark) == 0
+    out = capsys.readouterr().out
+    assert "## retrieval" in out and "dense only" in out and "hybrid + rerank + auth" in out
+    with pytest.raises(SystemExit, match="--model"):
+        cli.main(["evaluate", "--generation", "--gold", str(tmp_path / "g.jsonl"), *at], spark)
+
+
+LONG_PAGE = "<p>The officer reads the whole form with care.</p>" * 20
+
+
+def stub(url):
+    """The sources as a few pages."""
+    text = "Long text of the section. " * 5
+    pages_ = {
+        "/full/": f"<D><DIV1 N='8'><HEAD>Title 8.</HEAD><DIV8 N='214.2'><HEAD>§ 214.2 Special requirements.</HEAD><P>{text}</P></DIV8></DIV1></D>",
+        "download.shtml": '<a href="releasepoints/us/pl/1/xml_usc08@1-2.zip">',
+        "GetTree": '[{"id": "1", "text": "9 FAM 400", "items": [{"id": "0402.1", "text": "402.1 OVERVIEW", "url": "/a.HTML"}, {"id": "2", "text": "again", "url": "/a.HTML"}]}]',
+        "/a.HTML": f"<div class='WordSection1'>(CT:VISA-1; 13-45-2020){LONG_PAGE}</div>",
+        "sitemap.xml": "<loc>https://www.uscis.gov/sitemap-1.xml</loc>",
+        "sitemap-1.xml": "<loc>https://www.uscis.gov/policy-manual/volume-7-part-a-chapter-2</loc><loc>https://www.uscis.gov/policy-manual/volume-9-part-a</loc>",
+        "/policy-manual/": f"<article><h1>Chapter 2 - Eligibility</h1>{LONG_PAGE}</article>",
+        "documents.json": json.dumps({"results": [{"document_number": "n1", "title": "Rule", "abstract": "A rule that is long enough to be evidence of something, as it must have eighty letters.", "publication_date": "2024-01-02"}] if "state-dep" in url else []}),
+    }
+    if url.endswith(".zip"):
+        z = io.BytesIO()
+        with zipfile.ZipFile(z, "w") as f:
+            f.writestr("usc08.xml", f'<u:doc xmlns:u="http://xml.house.gov/schemas/uslm/1.0"><u:section identifier="/us/usc/t8/s1184"><u:heading>Admission</u:heading><u:content>{text}</u:content></u:section></u:doc>')
+        return z.getvalue()
+    if url.endswith(".pdf"):
+        return b"Dependents are persons." if "p501" in url else None
+    return next(v for k, v in pages_.items() if k in url).encode()
+
+
+def pdf_text(content):
+    return bytes(content).decode()
+
+
+def test_download_to_index(spark, tmp_path, capsys):
+    out = str(tmp_path / "data")
+    assert cli.main(["download", "--out", out, "--client", f"{__name__}:stub", "--pdf-text", f"{__name__}:pdf_text", "--pause", "0"], spark) == 0
+    docs = {r.doc_id: r for r in parsers.read_documents(spark, f"{out}/documents").collect()}
+    assert set(docs) == {"cfr:8-214.2", "ina:8usc-1184", "fam:09FAM-0402.1", "uscis_pm:volume-7-part-a-chapter-2", "fedreg:n1", "irs_pub:irs_pub501"}
+    assert docs["cfr:8-214.2"].url == "https://www.ecfr.gov/current/title-8/section-214.2" and docs["ina:8usc-1184"].citation == "INA § 214 (8 U.S.C. § 1184)"
+    assert docs["fam:09FAM-0402.1"].breadcrumb == ["09 FAM", "9 FAM 400"] and docs["fam:09FAM-0402.1"].effective_date is None
+    assert all(d.as_of for d in docs.values())
+    assert "TOTAL          6" in capsys.readouterr().out
+    assert cli.main(["download", "--out", out, "--only", "irs"], spark) == 0  # without an extractor it is left out, and what is there stays
+    assert cli.main(["build-index", "--documents", f"{out}/documents", "--index", str(tmp_path / "i")], spark) == 0
+    assert cli.main(["ask", "dependents", "--retrieval-only", "--index", str(tmp_path / "i")], spark) == 0
