@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+FILE_ROWS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``). Only a local session may go without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: str | None = None
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
+
+    Where a bound of the ``rows`` is known and they are small and cheap to make, a task writes FILE_ROWS of them at least, not a file a
+    partition; a bound beyond the partitions changes nothing.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -184,9 +192,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = written(e, "cc")
-    nodes = e.select("u").unionAll(e.select("v")).distinct()
+    n = e.count()
     mark = None
-    for _ in range(rounds):
+    for _ in range(rounds if n else 0):
         # large star: each node's larger neighbours link to the smallest of its neighbourhood
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -195,15 +203,17 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        new = written(small, "cc")
+        new = written(small, "cc", 2 * n)
         discard(e)
         e = new
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        n, nodes, _sum = now = e.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # stars whose centres link to nothing are done; else a round that changes nothing tells
+        if now == mark or (n == nodes and e.join(reread(e).select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()):
             break
         mark = now
     else:
-        raise RuntimeError(f"components did not converge in {rounds} rounds")
+        if n:
+            raise RuntimeError(f"components did not converge in {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("v"))
     found = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return found.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

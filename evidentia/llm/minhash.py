@@ -233,25 +233,26 @@ def classes(docs: DataFrame, size: int = SIZE, least: float = SIMILARITY, bands:
     first = F.min_by(F.struct("doc_id", "text_hash", "bands"), F.struct("doc_id", "text_hash"))
     nodes = sigs.filter("node is not null").groupBy("node").agg(first.alias("r"), F.min("doc_id").alias("low"), F.count("*").alias("n"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "r.doc_id", "r.text_hash", "r.bands", "low", "n"), "nodes")
+    n = nodes.count()
     spread = nodes.select("id", F.explode("bands").alias("bucket"))
     many = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(spread.join(many, "bucket"), "members")
+    members = written(spread.join(many, "bucket"), "members", n * bands)
     typical = members.groupBy("id").agg(F.sum(F.log("n")).alias("t"))
     members = members.join(typical, "id").select("bucket", "id", "t")
-    members = written(members, "members")
+    members = written(members, "members", n * bands)
     leader = members.groupBy("bucket").agg(F.max(F.struct("t", "id")).getField("id").alias("leader"))
-    pairs = written(members.join(leader, "bucket").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    pairs = written(members.join(leader, "bucket").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs", n * bands)
     # texts of the nodes that share a bucket with another
     wanted = members.select("id").distinct().join(nodes.select("id", "doc_id", "text_hash"), "id")
     text = docs.select(F.col("doc_id").cast("bigint").alias("i_"), F.xxhash64("text").alias("h_"), F.col("text"))
     texts = wanted.join(text, (F.col("h_") == F.col("text_hash")) & F.col("i_").eqNullSafe(F.col("doc_id"))).select("id", "text").dropDuplicates(["id"])
     texts = written(texts, "texts")
     links = written(verified(pairs, texts, size, least), "links")
-    part = written(connected(links), "parts")
+    part = written(connected(links), "parts", n)
     # what a bucket holds of different components is compared across them: pairs of rows in small buckets, pairs of blocks in others
     placed = members.join(part, members.id == part.node, "left").select("bucket", members.id, F.coalesce("root", members.id).alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("bucket", "n")
-    open_ = written(placed.join(split, "bucket"), "open")
+    open_ = written(placed.join(split, "bucket"), "open", n * bands)
     small = open_.filter(F.col("n") <= SMALL)
     left, right = small.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), small.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     cross = left.join(right, "bucket").filter("ra < rb").select("a", "b").distinct()
@@ -262,14 +263,14 @@ def classes(docs: DataFrame, size: int = SIZE, least: float = SIMILARITY, bands:
         more = more.unionAll(_blocks(large, texts, size, least))
     more = written(more, "links")
     if not more.isEmpty():
-        part = written(connected(links.unionAll(more)), "parts")
+        part = written(connected(links.unionAll(more)), "parts", n)
     for x in (texts, members, open_, pairs, links, more):
         discard(x)
     # node -> class, then one join with the rows
     held = nodes.select("id", "node", "low", "n").join(part.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "low", "n", F.coalesce("root", "id").alias("class_"))
-    held = written(held, "held")
+    held = written(held, "held", n)
     groups = held.groupBy("class_").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_rows"))
-    named = written(reread(held).select("node", "class_").join(groups, "class_").select("node", "class_id", "class_rows"), "named")
+    named = written(reread(held).select("node", "class_").join(groups, "class_").select("node", "class_id", "class_rows"), "named", n)
     found = sigs.select("doc_id", "text_hash", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
     return found.select("doc_id", "text_hash", alone.alias("wordless"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("bigint").alias("class_rows"))
