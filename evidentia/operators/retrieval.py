@@ -28,7 +28,9 @@ class Params:
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, dl, held): dl is the text's length in terms, held its distinct ones. One exchange, combined before it."""
     terms = docs.select(key, T.tokenize(F.col(text)).alias("terms"))
-    rows = terms.select(key, F.size("terms").cast("bigint").alias("dl"), F.size(F.array_distinct("terms")).alias("held"), F.explode("terms").alias("term"))
+    # once a text, below the explode: beside it they would be counted for every term
+    terms = terms.select(key, "terms", F.size("terms").cast("bigint").alias("dl"), F.size(F.array_distinct("terms")).alias("held"))
+    rows = terms.select(key, "dl", "held", F.explode("terms").alias("term"))
     return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("held").alias("held"))
 
 
