@@ -295,7 +295,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     for d, n in dims.items():
         share = min(1.0, 1.2 * sample / n)
         drawn = nodes.filter((F.length("unit") == 8 * d) & (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-        some = drawn.orderBy(F.xxhash64("node"), "node").select("unit").limit(sample).collect()
+        some = drawn.orderBy(F.xxhash64("node", F.lit(3)), "node").select("unit").limit(sample).collect()  # in no relation to the audit's draws
         samples[d] = matrix([bytes(r.unit) for r in some]) if some else np.eye(1, d)
     held = {d: x[: min(2000, len(x) // 4)] for d, x in samples.items()}  # centroids lie nearer to pairs of the rows they were fitted on
     while True:
