@@ -4,7 +4,9 @@ Vectors are scaled to unit length in double precision; equal ones become one nod
 each node its ``overlap`` nearest clusters as shards; every node is indexed. A shard is cut into blocks of at most ``block`` nodes, and a
 robust-pruned graph is built on each: of a node's nearest candidates those stay that no closer kept neighbour is ``alpha`` times nearer to.
 A node's lists from all its shards are united. For each pair of an index block and a query block of a shard, greedy search from the block's
-medoid finds each query's surroundings, and the range is expanded along the lists from every node near enough until nothing new is near.
+medoid, from the query itself and from those of its united list that lie in the block finds the query's surroundings, and the range is
+expanded along the lists from every node near enough until nothing new is near. Blocks are cut anew in each shard, so that near nodes that
+one shard parts meet in the lists of another.
 Found pairs are verified by their cosine. A pair that several shards hold counts in the first of them. Tasks hold two blocks, whatever a
 cluster's size, and emit a row a node, not the links.
 
@@ -147,8 +149,8 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(0)).argmax())
 
 
-def search(x: np.ndarray, lists: list[list[int]], q: np.ndarray, least: float, beam: int = 24, slack: float = 0.12):
-    """(query, row, cosine) of the rows that greedy search from the medoid and range expansion find with cosine >= ``least``."""
+def search(x: np.ndarray, lists: list[list[int]], q: np.ndarray, least: float, starts: list[list[int]] | None = None, beam: int = 24, slack: float = 0.12):
+    """(query, row, cosine) of the rows that greedy search from the medoid and from the query's ``starts``, and range expansion, find with cosine >= ``least``."""
     n, width = len(x), max(1, max(map(len, lists), default=1))
     table = np.full((n, width), -1, np.int64)
     for i, near in enumerate(lists):
@@ -163,6 +165,12 @@ def search(x: np.ndarray, lists: list[list[int]], q: np.ndarray, least: float, b
         expanded = np.zeros((m, n), bool)
         ids = np.full((m, beam), -1, np.int64)
         ids[:, 0] = start
+        for i, some in enumerate(starts[low : low + 512] if starts else ()):
+            if some:
+                near = np.unique([start, *some])
+                sim[i, near] = x[near] @ part[i]
+                near = near[np.argsort(-sim[i, near], kind="stable")][:beam]
+                ids[i, : len(near)] = near
         while True:  # each query expands the nearest node of its beam that it hasn't expanded
             rows = np.arange(m)[:, None]
             value = np.where((ids >= 0) & ~expanded[rows, ids], sim[rows, ids], -9)
@@ -244,17 +252,19 @@ def _graphs(index: DataFrame) -> DataFrame:
 def _linked(index: DataFrame, queries: DataFrame, least: float, whole: bool = False) -> DataFrame:
     """(node, links, pairs, root): in each pair of blocks, how many rows and nodes a query is linked to, and a node that it is connected to.
 
-    ``whole`` compares all of a block with all of the other instead of searching it.
+    The queries of a block in itself are its own rows and are not listed again. ``whole`` compares all of a block with all of the other instead of searching it.
     """
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"node": [], "links": [], "pairs": [], "root": []}
-        if len(a) and len(b):
+        if len(a):
+            b = b if len(b) else a
             x, q = matrix(a["unit"].to_pylist()), matrix(b["unit"].to_pylist())
             xn, qn, weight, shard = np.array(a["node"]), np.array(b["node"]), np.array(a["n"]), a["shard"][0].as_py()
             place = {v: i for i, v in enumerate(xn.tolist())}
             lists = [[place[v] for v in near if v in place] for near in a["near"].to_pylist()]
-            r, c, sim = compare(x, q, least - 1e-9) if whole else search(x, lists, q, least - 1e-9)
+            starts = [[place[v] for v in (k, *near) if v in place] for k, near in zip(qn.tolist(), b["near"].to_pylist(), strict=True)]
+            r, c, sim = compare(x, q, least - 1e-9) if whole else search(x, lists, q, least - 1e-9, starts)
             good = (sim >= least) & (qn[r] != xn[c])
             r, c = r[good], c[good]
             xs, qs = [set(s) for s in a["shards"].to_pylist()], [set(s) for s in b["shards"].to_pylist()]
@@ -310,19 +320,20 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         sharded = written(_sharded(nodes, by_dim, overlap), "sharded")
         sized = sharded.withColumn("shard", F.explode("shards"))
         blocks = sized.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        sized = sized.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+        sized = sized.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int"))
         sized = written(sized, "blocks")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         lists = _graphs(sized.withColumnRenamed("own", "iblock").select("shard", "iblock", "node", "unit"))
-        index = sized.join(written(lists, "lists"), "node").withColumnRenamed("own", "iblock").withColumn("qblock", F.explode(every))
-        queries = reread(sized).withColumnRenamed("own", "qblock").withColumn("iblock", F.explode(every))
-        found = _linked(index.select("shard", "iblock", "qblock", "node", "unit", "n", "shards", "near"), queries.select("shard", "iblock", "qblock", "node", "unit", "shards"), least, whole)
+        lists = written(lists, "lists")
+        index = sized.join(lists, "node").withColumnRenamed("own", "iblock").withColumn("qblock", F.explode(every))
+        queries = reread(sized).filter("blocks > 1").join(reread(lists), "node").withColumnRenamed("own", "qblock").withColumn("iblock", F.explode(every)).filter("iblock <> qblock")
+        found = _linked(index.select("shard", "iblock", "qblock", "node", "unit", "n", "shards", "near"), queries.select("shard", "iblock", "qblock", "node", "unit", "shards", "near"), least, whole)
         found = written(found, "linked")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         got = {r.node: r.pairs for r in found.filter(F.col("node").isin(list(truth))).groupBy("node").agg(F.sum("pairs").alias("pairs")).collect()}
         met = {k: min(got.get(k, 0), want) for k, want in truth.items()}
         measured = min(sum(met.values()) / sum(truth.values()), sum(met[k] / truth[k] for k in truth) / len(truth)) if truth else None
-        for t in (sharded, sized):
+        for t in (sharded, sized, lists):
             discard(t)
         if measured is None or measured >= recall or whole:
             parts = written(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "parts")

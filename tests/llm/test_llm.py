@@ -441,6 +441,27 @@ def test_embeddings_audit(spark):
     assert rows[0].audit_recall >= 0.99 and all(rows[i].n_links <= near[i].sum() for i in rows)
 
 
+def test_embeddings_far_groups(spark, monkeypatch):
+    """Groups far from the medoid are found at the first overlap: the work isn't repeated."""
+    g = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(g.normal(size=(1200, 64)) + g.normal(size=(10, 64))[g.integers(0, 10, 1200)])
+    x = np.vstack([base, unit(np.repeat(unit(g.normal(size=(60, 64))), 20, 0) + unit(g.normal(size=(1200, 64))) * 0.2)])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    linked = near.any(1)
+    alone = embeddings.build(x)
+    r, c, _ = embeddings.search(x, alone, x, 0.9)
+    assert (r != c).sum() < 0.5 * near.sum()  # from the medoid alone most are lost
+    rounds, sharded = [], embeddings._sharded
+    monkeypatch.setattr(embeddings, "_sharded", lambda *a: rounds.append(a[2]) or sharded(*a))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in embeddings.near_vectors(table, sample=1200).collect()}
+    found = np.array([rows[i].n_links for i in range(len(x))])
+    assert len(rounds) == 1 and rows[0].audit_recall >= 0.99
+    assert (found <= near.sum(1)).all() and (found[linked] / near.sum(1)[linked]).mean() >= 0.99
+
+
 def test_reach():
     g = np.random.default_rng(4)
     x = g.normal(size=(8000, 64))
