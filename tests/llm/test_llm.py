@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -378,6 +379,36 @@ def test_suffix(spark, docs):
     assert out.columns == docs.columns and out.count() == len(TEXTS) and out.filter("text is null").count() == 1
 
 
+def test_suffix_words(spark):
+    """Passages of 50 words that 400 bytes don't cover are cut where that is asked for, whatever whitespace they have."""
+    g = random.Random(6)
+    word = lambda: "".join(g.choice("abcdeé") for _ in range(g.randint(1, 6)))
+    some = lambda n: [word() for _ in range(n)]
+    passage, short, long = some(52), some(49), some(200)
+    lists = [some(60) + passage + some(9), some(9) + passage, some(30) + short + some(9), short + some(70), some(5) + long + some(5), long[20:] + some(30), ["the"] * 70, some(40) + ["the"] * 49, some(10), []]
+    texts = [(" " if i % 2 else "\n ").join(w) for i, w in enumerate(lists)]
+    seen = Counter(tuple(w[k : k + 50]) for w in lists for k in range(len(w) - 49))
+    data = [t.encode() for t in texts]
+    strings = Counter(t[p : p + 400] for t in data for p in range(len(t) - 399))
+    want = []
+    for t, w in zip(data, lists, strict=True):
+        gone = np.zeros(len(t), bool)
+        place = [m.span() for m in re.finditer(rb"\S+", t)]
+        for k in range(len(w) - 49):
+            if seen[tuple(w[k : k + 50])] > 1:
+                gone[place[k][0] : place[k + 49][1]] = True
+        for p in range(len(t) - 399):
+            if strings[t[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        want.append(np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    for how in ({}, {"most": 0}):
+        got = {r.doc_id: r.text for r in suffix.without_repeats(docs, words=50, **how).collect()}
+        assert got.pop(99) is None and [got[i] for i in range(len(texts))] == want
+    plain_ = {r.doc_id: r.text for r in suffix.without_repeats(docs).collect()}
+    assert plain_[1] == texts[1] != want[1]  # 400 bytes alone leave it
+
+
 def test_licenses(docs):
     rows = licenses.scan_licenses(docs).collect()
     assert [(r.doc_id, r.license, r.containment) for r in rows] == [(16, "MIT", 1.0)]
