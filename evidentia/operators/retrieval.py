@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.functions import text as T
-from evidentia.partitions import sent
+from evidentia.operators import scan
+from evidentia.partitions import kept, sent
 
 
 @dataclass(frozen=True)
@@ -25,24 +26,31 @@ class Params:
     epsilon: float = 0.25
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl, held): dl is the text's length in terms, held its distinct ones. One exchange, combined before it."""
-    terms = docs.select(key, T.tokenize(F.col(text)).alias("terms"))
-    # once a text, below the explode: beside it they would be counted for every term
-    terms = terms.select(key, "terms", F.size("terms").cast("bigint").alias("dl"), F.size(F.array_distinct("terms")).alias("held"))
-    rows = terms.select(key, "dl", "held", F.explode("terms").alias("term"))
-    return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("held").alias("held"))
+def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms, dl, held), a row a document, with or without terms: dl is the text's length in terms, held its distinct ones. No text is moved.
+
+    Rows of one key are one document of one of their lengths; only where there are such rows are texts gathered by key.
+    """
+    rows = docs.select(key, F.coalesce(T.tokenize(F.col(text)), F.array().cast("array<string>")).alias("terms"))
+    rows = rows.select(key, "terms", F.size("terms").cast("bigint").alias("dl"))  # a filter by it would go below and make the terms twice
+    if docs.groupBy(key).count().filter("count > 1").limit(1).count():
+        rows = rows.groupBy(key).agg(F.flatten(F.collect_list("terms")).alias("terms"), F.max("dl").alias("dl"))
+    return rows.withColumn("held", F.size(F.array_distinct("terms")))
+
+
+def document_counts(index: DataFrame) -> DataFrame:
+    """(term, df) of ``tokens``."""
+    return index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(docs: DataFrame, text: str, index: DataFrame) -> DataFrame:
-    """One row: n documents and average length in terms of those that have a text, from their postings."""
+    """One row: n documents and average length in terms of those that have a text, from their ``tokens``."""
     n = docs.agg(F.count("*").alias("n"), F.count(text).alias("texts"))
-    return n.crossJoin(F.broadcast(index.agg(F.sum("tf").alias("all")))).select("n", (F.coalesce("all", F.lit(0)) / F.nullif("texts", F.lit(0))).alias("avgdl"))  # one row each
+    return n.crossJoin(F.broadcast(index.agg(F.sum(F.size("terms")).alias("all")))).select("n", (F.coalesce("all", F.lit(0)) / F.nullif("texts", F.lit(0))).alias("avgdl"))  # one row each
 
 
-def term_stats(index: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf): negative idf is replaced by epsilon times the mean idf of all terms."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf) of (term, df): negative idf is replaced by epsilon times the mean idf of all terms."""
     raw = df.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -56,26 +64,20 @@ def top_k(rows: DataFrame, by: str, order: list[Column], k: int, rank: str) -> D
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int, p: Params = Params()) -> DataFrame:
     """(qid, key, score, rank) of the k best documents of each query; ties by key. For one call: an index that is kept is not built each time."""
-    index = postings(docs, key, text)
-    stats = corpus_stats(docs, text, index)
-    return ranked(index, term_stats(index, stats, p.epsilon), stats, key, queries, qid, qtext, k, p)
+    index = kept(tokens(docs, key, text), "tokens")
+    stats = kept(corpus_stats(docs, text, index), "stats")
+    return ranked(index, term_stats(document_counts(index), stats, p.epsilon), stats, key, queries, qid, qtext, k, p)
 
 
 def ranked(index: DataFrame, terms: DataFrame, stats: DataFrame, key: str, queries: DataFrame, qid: str, qtext: str, k: int, p: Params = Params()) -> DataFrame:
-    """``bm25`` over an index that is there already. The asked terms are sent to the postings if they are few, so that no posting is moved."""
-    asked = queries.select(qid, F.explode(T.tokenize(F.col(qtext))).alias("term")).groupBy("term", qid).agg(F.count("*").alias("qtf"))
-    few = sent(asked)
-    hits = index.join(few(terms.join(few(asked), "term")), "term").crossJoin(F.broadcast(stats))  # one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy(qid, key).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return top_k(scored, qid, [F.desc("score"), F.col(key)], k, "rank")
+    """``bm25`` over an index that is there already, in one pass over its ``tokens``."""
+    return scan.candidates(index, terms, stats, key, queries, qid, qtext, [scan.SPARSE], k, p).drop("kind")
 
 
-def overlap(index: DataFrame, key: str, queries: DataFrame, qid: str, qtext: str, k: int) -> DataFrame:
-    """A second lexical ranking, where there is no embedder: distinct query terms a document holds over the root of its distinct terms."""
-    asked = queries.select(qid, F.explode(F.array_distinct(T.tokenize(F.col(qtext)))).alias("term"))
-    scored = index.join(sent(asked)(asked), "term").groupBy(qid, key).agg(F.round(F.count("*") / F.sqrt(F.first("held")), 6).alias("score"))
-    return top_k(scored, qid, [F.desc("score"), F.col(key)], k, "rank")
+def both_ranked(index: DataFrame, terms: DataFrame, stats: DataFrame, key: str, queries: DataFrame, qid: str, qtext: str, k: int, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(overlap, ``ranked``) in one pass. The first is a lexical ranking where there is no embedder: distinct query terms a document holds over the root of its distinct terms."""
+    found = scan.candidates(index, terms, stats, key, queries, qid, qtext, [scan.OVERLAP, scan.SPARSE], k, p)
+    return tuple(found.filter(F.col("kind") == kind).drop("kind") for kind in (scan.OVERLAP, scan.SPARSE))
 
 
 def lexical_score(asked: Column, text: Column, most: int = 2000) -> Column:
@@ -135,9 +137,10 @@ def fuse(first: DataFrame, second: DataFrame, qid: str, key: str, k: int = 60, n
 def retrieve(fused: DataFrame, sources: DataFrame, qid: str, key: str, keep: list[str] | None = None, score: Column | None = None, p: Params = Params()) -> DataFrame:
     """Pool, rerank, prior, final cut and tags. ``sources`` has (key, source, authority_rank); ``score`` is the reranker's, else the rrf.
 
-    The source filter stands behind the candidate cut, so a query may keep fewer than final_k.
+    The source filter stands behind the candidate cut, so a query may keep fewer than final_k. Few candidates are sent to the sources, so that no
+    source is moved.
     """
-    pool = fused.join(sources, key)
+    pool = sent(fused)(fused).join(sources, key)
     if keep is not None:
         pool = pool.filter(F.col("source").isin(keep))
     pool = top_k(pool, qid, [F.col("pool_rank")], max(p.dense_k, p.sparse_k), "pool")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import chunking, factcheck, index, metrics, research, retrieval, verification
-from evidentia.partitions import spread, workspace
+from evidentia.partitions import kept, sent, spread, workspace
 from evidentia.sources import pages, parsers
 
 QUERIES: dict = {}
@@ -99,11 +99,13 @@ def _index(spark, d) -> index.Index:
 
 def _sparse(spark, d, k=40):
     found = _index(spark, d)
-    return retrieval.ranked(found.postings, found.terms, found.stats, "chunk_id", table(spark, d, "benchmark"), "item_id", "text", k).withColumnRenamed("chunk_id", "doc_id")
+    return retrieval.ranked(found.tokens, found.terms, found.stats, "chunk_id", table(spark, d, "benchmark"), "item_id", "text", k).withColumnRenamed("chunk_id", "doc_id")
 
 
-def _overlap(spark, d):
-    return retrieval.overlap(_index(spark, d).postings, "chunk_id", table(spark, d, "benchmark"), "item_id", "text", 40).withColumnRenamed("chunk_id", "doc_id")
+def _both(spark, d):
+    found = _index(spark, d)
+    rows = retrieval.both_ranked(found.tokens, found.terms, found.stats, "chunk_id", table(spark, d, "benchmark"), "item_id", "text", 40)
+    return [r.withColumnRenamed("chunk_id", "doc_id") for r in rows]
 
 
 def _fused(spark, d):
@@ -515,7 +517,7 @@ def index_search(spark, d):
 @query(f"WITH {INDEX} SELECT doc_id, sum(tf)::bigint AS terms, count(*) AS held, any_value(dl)::bigint AS dl FROM post GROUP BY doc_id")
 def index_postings(spark, d):
     """What the built index holds of each document: its terms, distinct terms and length."""
-    return _index(spark, d).postings.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.sum("tf").alias("terms"), F.count("*").alias("held"), F.first("dl").alias("dl"))
+    return _index(spark, d).tokens.filter("dl > 0").select(F.col("chunk_id").alias("doc_id"), F.size("terms").cast("bigint").alias("terms"), F.col("held").cast("bigint").alias("held"), "dl")
 
 
 @query(f"""SELECT doc_id // 4 AS claim_id, CASE WHEN bool_or({_GRADE} = 'UNGROUNDED') THEN 'UNGROUNDED' WHEN bool_or({_GRADE} = 'PARTIAL') THEN 'PARTIAL' ELSE 'GROUNDED' END AS grade FROM labels GROUP BY ALL""")
