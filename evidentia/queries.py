@@ -109,7 +109,13 @@ def _both(spark, d):
 
 
 def _fused(spark, d):
-    return retrieval.fuse(_overlap(spark, d), _sparse(spark, d), "item_id", "doc_id", names=("overlap", "sparse"))
+    return retrieval.fuse(*_both(spark, d), "item_id", "doc_id", names=("overlap", "sparse"))
+
+
+def _with_text(spark, d, rows):
+    """``rows`` with the text of each one's document; few rows are sent to the documents, so that no text is moved."""
+    rows = kept(rows, "found")
+    return sent(rows)(rows).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _sources(spark, d):
@@ -479,13 +485,12 @@ _SCORE = "round(len(list_intersect(want, held)) / greatest(len(want), 1)::double
     UNION ALL SELECT 'hybrid+rerank+auth', item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(adjusted, 9) DESC, pool_rank) FROM lx) SELECT mode, item_id, doc_id, rank::bigint AS rank FROM m WHERE rank <= 8""")
 def ablation_modes(spark, d):
     """The same queries in the five configurations of the retrieval ablation; the first ranker is a lexical overlap, as there is no embedder here."""
-    first, second = _overlap(spark, d), _sparse(spark, d)
+    first, second = _both(spark, d)
     none, weight = first.filter(F.lit(False)), retrieval.Params().authority
     both = retrieval.fuse(first, second, "item_id", "doc_id")
-    texts = table(spark, d, "documents").select("doc_id", "text")
     asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("asked"))
-    scored = both.filter(F.col("pool_rank") < 40).join(texts, "doc_id").join(asked, "item_id")
-    scored = scored.withColumn("lexical", retrieval.lexical_score(F.col("asked"), F.col("text"))).drop("text", "asked")
+    scored = _with_text(spark, d, both.filter(F.col("pool_rank") < 40)).join(asked, "item_id")
+    scored = kept(scored.withColumn("lexical", retrieval.lexical_score(F.col("asked"), F.col("text"))).drop("text", "asked"), "scored")
     runs = [
         ("overlap", retrieval.fuse(first, none, "item_id", "doc_id"), None, 0.0), ("sparse", retrieval.fuse(none, second, "item_id", "doc_id"), None, 0.0),
         ("hybrid", both, None, 0.0), ("hybrid+rerank", scored, F.col("lexical"), 0.0), ("hybrid+rerank+auth", scored, F.col("lexical"), weight),
