@@ -587,7 +587,8 @@ def chunk_corpus(spark, d):
 @query()
 def grounding_report(spark, d):
     """Each passage as an answer that quotes itself under the tags S1 and S9, checked against what was found for it; no SQL, as quotes are matched fuzzily."""
-    found = retrieval.retrieve(_fused(spark, d), _sources(spark, d), "item_id", "doc_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("citation", F.concat(F.lit("doc "), "doc_id"))
+    found = _with_text(spark, d, retrieval.retrieve(_fused(spark, d), _sources(spark, d), "item_id", "doc_id")).withColumn("citation", F.concat(F.lit("doc "), "doc_id"))
+    found = kept(found, "found")
     quote = lambda tag: F.struct(F.lit(tag).alias("tag"), F.col("text").alias("quote"), F.lit("").alias("relevance"))
     answers = table(spark, d, "benchmark").select("item_id", F.col("text").alias("explanation"), F.array(quote("S1"), quote("S9")).alias("evidence"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("caveats"))
     return factcheck.downgrade(factcheck.ground(answers, found, ["item_id"])).select("item_id", "grade", "confidence", "grounding", F.size("caveats").alias("n_caveats"))

@@ -23,3 +23,7 @@ def plan_of(spark):
 def test_ablation_modes_ranks_once(plan_of):
     plan = plan_of("ablation_modes")
     assert "MapInArrow" not in plan and "tokens" not in plan and "Exchange hashpartitioning(doc_id#" not in plan
+
+
+def test_grounding_report_finds_once(plan_of):
+    assert "documents.parquet" not in plan_of("grounding_report")
