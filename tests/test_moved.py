@@ -27,3 +27,7 @@ def test_ablation_modes_ranks_once(plan_of):
 
 def test_grounding_report_finds_once(plan_of):
     assert "documents.parquet" not in plan_of("grounding_report")
+
+
+def test_index_search_moves_no_document(plan_of):
+    assert "Exchange hashpartitioning(chunk_id#" not in plan_of("index_search")
