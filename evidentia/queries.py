@@ -351,7 +351,7 @@ hit AS (SELECT item_id, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS hit
 @query(f"""WITH {RANKED}, {_HIT} SELECT count(*) AS n, {', '.join(f'round(avg((coalesce(hit, 999) <= {k})::int), 6) AS recall_{k}' for k in (1, 3, 5, 8))},
           round(avg(coalesce(1.0::double / hit, 0)), 6) AS mrr, round(avg(CASE WHEN hit <= 5 THEN 1.0::double / log2(hit + 1) ELSE 0 END), 6) AS ndcg_5 FROM hit""")
 def retrieval_metrics(spark, d):
-    gold = quote_exact(spark, d).withColumnRenamed("doc_id", "gold_doc")
+    gold = kept(quote_exact(spark, d).withColumnRenamed("doc_id", "gold_doc"), "gold")
     found = metrics.first_hit(_sparse(spark, d, 10), gold, "item_id", "rank", F.col("doc_id") == F.col("gold_doc"))
     return metrics.retrieval_metrics(found)
 

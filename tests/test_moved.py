@@ -31,3 +31,7 @@ def test_grounding_report_finds_once(plan_of):
 
 def test_index_search_moves_no_document(plan_of):
     assert "Exchange hashpartitioning(chunk_id#" not in plan_of("index_search")
+
+
+def test_retrieval_metrics_finds_gold_once(plan_of):
+    assert "documents.parquet" not in plan_of("retrieval_metrics")
