@@ -549,7 +549,7 @@ def loose_answers(spark, d):
 @query(f"""WITH {RANKED}{_final(weight=0.0)}, b AS (SELECT item_id, final_rank, '[S' || (final_rank + 1) || '] doc ' || doc_id || ' | ' || source || chr(10) || 'source=' || source || ' url=' || chr(10) || '---' || chr(10) || text || chr(10) AS block
     FROM fin JOIN documents USING (doc_id, source) WHERE final_rank < 8) SELECT item_id, sha1(string_agg(block, chr(10) || chr(10) ORDER BY final_rank)) AS context_sha1 FROM b GROUP BY item_id""")
 def context_blocks(spark, d):
-    rows = retrieval.retrieve(_fused(spark, d), _sources(spark, d), "item_id", "doc_id", p=retrieval.Params(authority=0.0)).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = _with_text(spark, d, retrieval.retrieve(_fused(spark, d), _sources(spark, d), "item_id", "doc_id", p=retrieval.Params(authority=0.0)))
     rows = rows.select("item_id", "final_rank", "tag", F.concat(F.lit("doc "), "doc_id").alias("citation"), F.col("source").alias("title"), "source", F.lit("").alias("url"), "text")
     return factcheck.contexts(rows, ["item_id"]).select("item_id", F.sha1(F.col("context").cast("binary")).alias("context_sha1"))
 

@@ -35,3 +35,7 @@ def test_index_search_moves_no_document(plan_of):
 
 def test_retrieval_metrics_finds_gold_once(plan_of):
     assert "documents.parquet" not in plan_of("retrieval_metrics")
+
+
+def test_context_blocks_moves_no_document(plan_of):
+    assert "Exchange hashpartitioning(doc_id#" not in plan_of("context_blocks")
