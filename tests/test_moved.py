@@ -39,3 +39,7 @@ def test_retrieval_metrics_finds_gold_once(plan_of):
 
 def test_context_blocks_moves_no_document(plan_of):
     assert "Exchange hashpartitioning(doc_id#" not in plan_of("context_blocks")
+
+
+def test_hybrid_source_filtered_moves_no_document(plan_of):
+    assert "Exchange hashpartitioning(doc_id#" not in plan_of("hybrid_source_filtered")
