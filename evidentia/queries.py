@@ -225,7 +225,7 @@ def quote_exact(spark, d):
 def quote_fuzzy(spark, d):
     """Each passage against its three best documents; no SQL, as difflib's ratio has none."""
     pairs = _sparse(spark, d, 3).join(table(spark, d, "benchmark").withColumnRenamed("text", "quote"), "item_id")
-    pairs = pairs.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").repartition("item_id", "doc_id")
+    pairs = kept(_with_text(spark, d, pairs), "pairs")
     return verification.verify_quotes(pairs, "quote", "text").select("item_id", "doc_id", "similarity", "found")
 
 
