@@ -49,3 +49,7 @@ def test_quotes_are_dealt_over_all_cores(spark, plan_of):
     rows = spark.createDataFrame([("a quote", "another body")], "q string, b string")
     assert "REPARTITION_BY_NUM" in plan_of(verification.verify_quotes(rows, "q", "b"))
     assert "documents.parquet" not in plan_of("quote_fuzzy")
+
+
+def test_hybrid_topk_moves_no_document(plan_of):
+    assert "Exchange hashpartitioning(doc_id#" not in plan_of("hybrid_topk")
