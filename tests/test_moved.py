@@ -53,3 +53,7 @@ def test_quotes_are_dealt_over_all_cores(spark, plan_of):
 
 def test_hybrid_topk_moves_no_document(plan_of):
     assert "Exchange hashpartitioning(doc_id#" not in plan_of("hybrid_topk")
+
+
+def test_abstain_gate_moves_no_document(plan_of):
+    assert "Exchange hashpartitioning(doc_id#" not in plan_of("abstain_gate")
