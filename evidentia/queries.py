@@ -199,7 +199,8 @@ _ROUND = "{0} AS (SELECT *, row_number() OVER (PARTITION BY item_id, grp ORDER B
 
 @query(f"WITH {RANKED}, {_ROUND.format('g')} SELECT item_id, grp, doc_id, r::bigint AS rank FROM g WHERE r <= 3")
 def compare_authorities(spark, d):
-    found = _fused(spark, d).join(_sources(spark, d), "doc_id")
+    found = _fused(spark, d)
+    found = sent(found)(found).join(_sources(spark, d), "doc_id")
     rows = research.per_authority(found, "item_id", {"statute": ["src0"], "regulation": ["src1"]}, other="guidance")
     return rows.select("item_id", F.col("kind").alias("grp"), "doc_id", F.col("place").cast("bigint").alias("rank"))
 

@@ -57,3 +57,7 @@ def test_hybrid_topk_moves_no_document(plan_of):
 
 def test_abstain_gate_moves_no_document(plan_of):
     assert "Exchange hashpartitioning(doc_id#" not in plan_of("abstain_gate")
+
+
+def test_compare_authorities_moves_no_document(plan_of):
+    assert "Exchange hashpartitioning(doc_id#" not in plan_of("compare_authorities")
