@@ -61,3 +61,7 @@ def test_abstain_gate_moves_no_document(plan_of):
 
 def test_compare_authorities_moves_no_document(plan_of):
     assert "Exchange hashpartitioning(doc_id#" not in plan_of("compare_authorities")
+
+
+def test_authority_prior_moves_no_document(plan_of):
+    assert "Exchange hashpartitioning(doc_id#" not in plan_of("authority_prior")
