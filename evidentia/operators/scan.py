@@ -45,6 +45,7 @@ class Group:
     times: np.ndarray
     row: np.ndarray
     dense: np.ndarray
+    has: np.ndarray
 
 
 def grouped(queries: list[list[int]], share: np.ndarray, size: int) -> list[Group]:
@@ -65,7 +66,7 @@ def grouped(queries: list[list[int]], share: np.ndarray, size: int) -> list[Grou
         dense = np.zeros((len(some), len(common)))
         held = row[term] >= 0
         dense[query[held], row[term[held]]] = times[held]
-        out.append(Group(first, len(some), np.r_[0, np.cumsum(by)], query.astype(np.int32), times.astype(float), row, dense))
+        out.append(Group(first, len(some), np.r_[0, np.cumsum(by)], query.astype(np.int32), times.astype(float), row, dense, (dense > 0).astype(np.float32)))
     return out
 
 
@@ -73,9 +74,9 @@ def sums(g: Group, term: np.ndarray, doc: np.ndarray, weight: np.ndarray | None,
     """(queries, documents): the sum of the weights of a query's terms, as often as it has them; without weights, how many distinct terms are held."""
     row = g.row[term]
     common = row >= 0
-    held = np.zeros((g.dense.shape[1], n))
+    held = np.zeros((g.dense.shape[1], n), g.has.dtype if weight is None else float)
     held[row[common], doc[common]] = 1.0 if weight is None else weight[common]
-    out = ((g.dense > 0).astype(float) if weight is None else g.dense) @ held
+    out = (g.has if weight is None else g.dense) @ held  # counts are exact in 32 bits
     flat = out.reshape(-1)
     rest = np.flatnonzero(~common & (g.start[term + 1] > g.start[term]))
     many = (g.start[term + 1] - g.start[term])[rest]
@@ -86,7 +87,7 @@ def sums(g: Group, term: np.ndarray, doc: np.ndarray, weight: np.ndarray | None,
         p, m = rest[at:stop], many[at:stop]
         p = np.repeat(p, m)
         k = g.start[term[p]] + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
-        flat += np.bincount(g.query[k].astype(np.int64) * n + doc[p], None if weight is None else weight[p] * g.times[k], g.n * n)
+        flat += np.bincount(g.query[k].astype(np.int64) * n + doc[p], None if weight is None else weight[p] * g.times[k], g.n * n).astype(out.dtype, copy=False)
         at = stop
     return out
 

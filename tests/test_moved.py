@@ -65,3 +65,7 @@ def test_compare_authorities_moves_no_document(plan_of):
 
 def test_authority_prior_moves_no_document(plan_of):
     assert "Exchange hashpartitioning(doc_id#" not in plan_of("authority_prior")
+
+
+def test_bm25_holds_no_more_for_longer_corpora(plan_of):
+    assert "Exchange" not in plan_of("bm25_topk")
