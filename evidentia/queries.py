@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import chunking, factcheck, index, metrics, research, retrieval, verification
-from evidentia.partitions import kept, sent, spread, workspace
+from evidentia.partitions import kept, sent, small_batches, spread, workspace
 from evidentia.sources import pages, parsers
 
 QUERIES: dict = {}
@@ -306,6 +306,7 @@ def clean_page_text(spark, d):
 @query()
 def html_parse(spark, d):
     """Title, first heading and text of every page, by the standard library's parser; no SQL."""
+    small_batches(spark)
     return costly(spark, d, "pages").withColumn("p", parsers.parse_html("html")).select("page_id", "url", "p.*")
 
 

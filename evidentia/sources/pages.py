@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from evidentia.functions import text as T
+from evidentia.partitions import small_batches
 from evidentia.sources.adapters import PAGE
 from evidentia.sources.parsers import effective_date
 
@@ -90,6 +91,7 @@ def selected(html: str | None, within: list[str], junk: list[str]) -> str | None
 
 def page_text(html: Column, within: list[str], junk: list[str]) -> Column:
     """The text of a page's main element, a line a piece; null if the page has none of them."""
+    small_batches()
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:

@@ -69,3 +69,16 @@ def test_authority_prior_moves_no_document(plan_of):
 
 def test_bm25_holds_no_more_for_longer_corpora(plan_of):
     assert "Exchange" not in plan_of("bm25_topk")
+
+
+def test_page_batches_are_bounded_in_bytes(spark):
+    @F.pandas_udf("long")
+    def rows_of_batch(pages: pd.Series) -> pd.Series:
+        return pd.Series([len(pages)] * len(pages))
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    queries.QUERIES["html_parse"](spark, SF)
+    rows = spark.range(3000, numPartitions=1).select(rows_of_batch(F.repeat(F.lit("x"), 5000)).alias("n"))
+    assert rows.agg(F.max("n")).first()[0] <= 1000
+    small_batches(spark, 64 << 20)  # a smaller setting stays
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 2 << 20
